@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, piece_encoding, token_counts
+from . import exact_dedup, jaccard_join, piece_encoding, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op4_jaccard_join": jaccard_join.query,
     "op5_exact_dedup": exact_dedup.query,
     "op8_piece_encoding": piece_encoding.query,
 }

@@ -9,7 +9,8 @@ _RNG = np.random.default_rng(20240229)
 #: One odd random number for each byte value; A-Z share the numbers of a-z.
 BYTE_KEYS = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 BYTE_KEYS[65:91] = BYTE_KEYS[97:123]
-A, B, C, SHORT = (U64(int(x) | 1) for x in _RNG.integers(1, 1 << 63, 4, dtype=np.uint64))
+SHORT = U64(int(_RNG.integers(1, 1 << 63, dtype=np.uint64)) | 1)
+_PLACES = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | U64(1)  # of a word within its shingle
 
 #: Bytes that end a word: blank and \t \n \v \f \r.
 SPACES = np.ones(256, bool)
@@ -62,11 +63,14 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h + lens.astype(np.uint64))
 
 
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    """The hashes of all 3-word shingles of one document, in order; of the whole sequence if it has fewer words."""
-    n = len(words)
+def shingle_hashes(hashes: np.ndarray, words: int = 3) -> np.ndarray:
+    """The hashes of all shingles of ``words`` words of one document, in order; of the whole sequence if it has fewer."""
+    n = len(hashes)
     if n == 0:
         return np.zeros(0, np.uint64)
-    if n < 3:
-        return mix((words * np.array([A, B], np.uint64)[:n]).sum(keepdims=True, dtype=np.uint64) + SHORT * U64(n))
-    return mix(words[:-2] * A + words[1:-1] * B + words[2:] * C)
+    if n < words:
+        return mix((hashes * _PLACES[:n]).sum(keepdims=True, dtype=np.uint64) + SHORT * U64(n))
+    total = hashes[: n - words + 1] * _PLACES[0]
+    for k in range(1, words):
+        total += hashes[k : n - words + 1 + k] * _PLACES[k]
+    return mix(total)
