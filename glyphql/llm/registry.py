@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, piece_encoding, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, piece_encoding, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op4_jaccard_join": jaccard_join.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op7_decontaminate": decontaminate.query,
     "op8_piece_encoding": piece_encoding.query,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
 }
