@@ -20,13 +20,15 @@ nor returned by :func:`hits`, and all pass through :func:`clean`.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import LOWER, UPPER, doc_chunks, table, utf8_view
 from .wordhash import ALNUM, U64, mix, word_bounds, word_hashes
@@ -128,7 +130,7 @@ class Automaton:
                     found.add(item)
             if reach:
                 start = k + 1 - reach
-                while spans and spans[-1][1] >= start:
+                while spans and spans[-1][1] > start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, k + 1))
         return spans, found
@@ -221,71 +223,91 @@ def _item_chunks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator
     yield chunk
 
 
-def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``id, n_words, spans, places, items`` of every row; spans of words and byte ranges, end exclusive."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, spans array<struct<s:int,e:int>>, places array<struct<s:int,e:int>>, items array<string>"
-    pair = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-    sc = docs.sparkSession.sparkContext
-    out = None
-    for chunk in _item_chunks(benchmark, item_id, item_text):
+def unite(spans: list[list[int]]) -> list[list[int]]:
+    """Sorted spans without overlap; spans that only touch stay apart."""
+    out: list[list[int]] = []
+    for s, e in sorted((int(s), int(e)) for s, e in spans):
+        if out and s < out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def annotate(rows: DataFrame, benchmark: DataFrame, finish: Callable, schema: str | StructType, text_col: str, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """One pass over ``rows`` for each chunk of items, without a shuffle; the last one returns what ``finish`` makes.
+
+    finish: gets a batch of ``rows`` and of each row a dict with ``n``, ``spans`` (of words), ``places`` (of bytes) and
+    ``items``, and returns a batch of ``schema``."""
+    sc = rows.sparkSession.sparkContext
+    state = "_decontaminate_state"
+    columns, out = len(rows.columns), rows
+    text_at = rows.columns.index(text_col)
+    between = StructType([*rows.schema.fields, StructField(state, StringType())])
+    chunks = _item_chunks(benchmark, item_id, item_text)
+    chunk: list | None = next(chunks)
+    while chunk is not None:
+        after = next(chunks, None)
         sent = sc.broadcast(chunk)
         key = hashlib.sha256(repr((window, chunk)).encode()).hexdigest()
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key, last=after is None) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(key, sent.value, window)
             ids = matcher.automaton.ids
             for batch in batches:
-                got = list(matcher.match(batch.column(1)))
-                as_rows = lambda k: pa.array([[{"s": s, "e": e} for s, e in g[k]] for g in got], pair)
-                items = pa.array([sorted({ids[k] for k in g[2] if ids[k] is not None}) for g in got], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), as_rows(1), as_rows(3), items], ["id", "n_words", "spans", "places", "items"])
-
-        found = rows.mapInArrow(run, schema)
-        out = found if out is None else _unite(out, found)
+                own = batch.select(range(columns))
+                before = batch.column(columns).to_pylist() if batch.num_columns > columns else [None] * len(batch)
+                got = []
+                for (n, spans, items, places), old in zip(matcher.match(batch.column(text_at)), before, strict=True):
+                    old = json.loads(old) if old else {"spans": [], "places": [], "items": []}
+                    got.append({"n": n} | {k: unite([*old[k], *v]) for k, v in (("spans", spans), ("places", places))})
+                    got[-1]["items"] = sorted({*old["items"], *(ids[k] for k in items if ids[k] is not None)})
+                if last:
+                    yield finish(own, got)
+                else:
+                    states = [json.dumps(g) if g["spans"] else None for g in got]
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(states, pa.string())], [*own.schema.names, state])
+
+        out = out.mapInArrow(run, schema if after is None else between)
+        chunk = after
     return out
 
 
-def _unite(one: DataFrame, two: DataFrame) -> DataFrame:
-    """The spans of two passes over the same rows. A row is told by its id and number of words; equal rows have equal spans."""
-    both = one.unionAll(two).groupBy("id", "n_words")
-    return both.agg(F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("places")).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-
-
-def _covered(spans_col: str) -> F.Column:
-    """Words in the union of the spans, which may overlap after :func:`_unite`."""
-    step = lambda acc, x: F.struct(
-        (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["to"]))).cast("long").alias("n"), F.greatest(acc["to"], x["e"]).alias("to")
-    )
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
-    return F.aggregate(F.array_sort(spans_col), start, step, lambda acc: acc["n"])
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` of every row."""
-    found = spans(docs, benchmark, id_col, **options).withColumn("n_hit", _covered("spans"))
-    return found.select(
-        F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-    )
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_words: int = 0, most_share: float = 0.0) -> DataFrame:
-    """``docs`` with all columns, the hit words cut from the text where they are more than ``most_words`` and exceed
-    ``most_share`` of its words; other texts, and what stands between words that stay, remain as they are."""
-    rows = docs.withColumn("_row_text", F.col(text_col))
-    found = spans(docs, benchmark, id_col, text_col, window=window).withColumn("n_hit", _covered("spans"))
-    bad = found.where((F.col("n_hit") > most_words) & (F.col("n_hit") > F.col("n_words") * most_share)).select(
-        F.col("id").alias("_bad_id"), F.col("n_words").alias("_bad_words"), F.array_sort("places").alias("_places")
-    ).distinct()
-    n_words = F.size(F.regexp_extract_all(F.col("_row_text"), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0)))
-    joined = rows.withColumn("_n", n_words.cast("long")).join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.col("_n") == F.col("_bad_words")), "left")
-    raw = F.col("_row_text").cast("binary")
-    state = F.struct(F.lit("").alias("kept"), F.lit(0).alias("to"))
-    piece = lambda a, b: F.when(b > a, F.substring(raw, a + 1, b - a).cast("string")).otherwise(F.lit(""))
-    step = lambda acc, x: F.struct(F.concat(acc["kept"], piece(acc["to"], x["s"])).alias("kept"), F.greatest(acc["to"], x["e"]).alias("to"))
-    cut = F.aggregate("_places", state, step, lambda acc: F.concat(acc["kept"], piece(acc["to"], F.octet_length(raw))))
-    return joined.withColumn(text_col, F.when(F.col("_places").isNull(), F.col("_row_text")).otherwise(cut)).select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+
+    def finish(batch: pa.RecordBatch, got: list[dict]) -> pa.RecordBatch:
+        hit = [sum(e - s for s, e in g["spans"]) for g in got]
+        digests = [hashlib.sha256(",".join(g["items"]).encode()).hexdigest() for g in got]
+        numbers = [pa.array(x, pa.int64()) for x in ([g["n"] for g in got], hit, [len(g["items"]) for g in got])]
+        return pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(digests, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], names)
+
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return annotate(rows, benchmark, finish, schema, "text", **options).withColumnRenamed("id", id_col)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most_words: int = 0, most_share: float = 0.0, **options) -> DataFrame:
+    """``docs`` with all rows and columns, the hit spans cut from a text in which the longest one has more than
+    ``most_words`` words or all of them more than ``most_share`` of its words. Other bytes remain as they are."""
+    at = docs.columns.index(text_col)
+
+    def finish(batch: pa.RecordBatch, got: list[dict]) -> pa.RecordBatch:
+        texts = batch.column(at).to_pylist()
+        for k, g in enumerate(got):
+            hit = [e - s for s, e in g["spans"]]
+            if hit and (max(hit) > most_words or sum(hit) > most_share * g["n"]):
+                raw, kept, to = texts[k].encode(), [], 0
+                for s, e in g["places"]:
+                    kept.append(raw[to:s])
+                    to = e
+                texts[k] = b"".join([*kept, raw[to:]]).decode()
+        columns = list(batch.columns)
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return annotate(docs, benchmark, finish, docs.schema, text_col, **options)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
