@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, piece_encoding, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, piece_encoding, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op7_decontaminate": decontaminate.query,
     "op8_piece_encoding": piece_encoding.query,
+    "op10_warc": warc.query,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
