@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, piece_encoding, secrets, token_counts, warc
+from . import decontaminate, exact_dedup, jaccard_join, language_id, piece_encoding, secrets, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_secrets": secrets.query,
     "op4_jaccard_join": jaccard_join.query,
     "op5_exact_dedup": exact_dedup.query,
