@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, piece_encoding, secrets, suffix_dedup, token_counts, warc
+from . import decontaminate, exact_dedup, jaccard_join, language_id, piece_encoding, quality, secrets, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -13,9 +13,11 @@ QUERIES = {
     "op6_language_id": language_id.query,
     "op7_decontaminate": decontaminate.query,
     "op8_piece_encoding": piece_encoding.query,
+    "op9_quality": quality.query,
     "op10_warc": warc.query,
 }
 
+#: What SQL cannot express is tested against brute force or the tokenizers' libraries in tests/llm.
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
