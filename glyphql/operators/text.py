@@ -30,9 +30,13 @@ def normalise(text: str) -> str:
     return "".join(c for c in folded if unicodedata.category(c) != "Mn")
 
 
-@F.pandas_udf("string")
-def normalised(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else t if t.isascii() and t.islower() else normalise(t))
+def normalised(column: Column) -> Column:
+    """:func:`normalise` over Arrow batches; Spark has no built-in for it."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else t.lower() if t.isascii() else normalise(t))
+
+    return F.pandas_udf(run, "string")(column)
 
 
 def tokens(text: Column) -> Column:
