@@ -36,6 +36,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.
 TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ORDINARY = "(?<![A-Za-z0-9+/_.=-])[A-Za-z]{2,}(?:[_-][A-Za-z]{2,})*(?![A-Za-z0-9+/_.=-])"
 LEAST_RATIO = 12.0
+#: The weight of single characters against pairs, in pairs.
+BACK_OFF = 20.0
 SAMPLE_DOCS = 4000
 
 
@@ -87,8 +89,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         counts[r["label"]][a * n + b] += r["count"]
     logs = []
     for c in counts:
-        rows_sum = [sum(c[a * n : a * n + n]) for a in range(n)]
-        logs.append([math.log((c[k] + 1) / (rows_sum[k // n] + n)) for k in range(n * n)])
+        # A pair's probability falls back on that of its second character, so pairs never seen count by what they hold.
+        ends = [sum(c[b::n]) + 1 for b in range(n)]
+        alone = [x / sum(ends) for x in ends]
+        begins = [sum(c[a * n : a * n + n]) for a in range(n)]
+        logs.append([math.log((c[k] + BACK_OFF * alone[k % n]) / (begins[k // n] + BACK_OFF)) for k in range(n * n)])
     return [round(x - y, 4) for x, y in zip(logs[1], logs[0], strict=True)]
 
 
