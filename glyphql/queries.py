@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions.library import operator
-from .operators import dialects, guard, joins, pipeline, rules, statistics, text
+from .operators import dialects, guard, joins, migrate, pipeline, rules, statistics, text
+from .sources import files
 from .streaming import ingest
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations")
@@ -373,3 +374,49 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, user_id, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k""")
 def r_window_sessions(spark, sf_dir):
     return ingest.sessions(table(spark, sf_dir, "events"), "ts", "6 hours", "user_id")
+
+
+# Lookups, migration, streams of documents
+
+
+@_query("i_point", "SELECT * FROM orders WHERE o_orderkey = 77")
+def i_point(spark, sf_dir):
+    return migrate.point(table(spark, sf_dir, "orders"), "o_orderkey", 77)
+
+
+@_query("i_range", "SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
+def i_range(spark, sf_dir):
+    return migrate.between(table(spark, sf_dir, "orders"), "o_orderkey", 100, 900)
+
+
+@_query("i_repeated", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def i_repeated(spark, sf_dir):
+    return migrate.repeated_keys(table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@_query("m_preflight", "SELECT 'customer.order: reserved word' AS problem UNION ALL SELECT 'customer.balance: precision: decimals become floating point'")
+def m_preflight(spark, sf_dir):
+    t = migrate.TableDef("customer", (("id", "integer"), ("order", "integer"), ("balance", "numeric(10,2)")))
+    return spark.createDataFrame([(p,) for p in migrate.preflight([t], "postgres", "sqlite")], "problem string")
+
+
+@_query("x_export_sql", """SELECT 'INSERT INTO "r" ("r_regionkey", "r_name") VALUES (' || r_regionkey || ', ''' || r_name || ''');' AS value FROM region""")
+def x_export_sql(spark, sf_dir):
+    return files.insert_statements(table(spark, sf_dir, "region"), "r")
+
+
+@_query("x_payload_hash", """SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS payload, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS hash FROM nation""")
+def x_payload_hash(spark, sf_dir):
+    return files.packed(table(spark, sf_dir, "nation"))
+
+
+@_query("t_changed_documents", "SELECT doc_id FROM documents WHERE doc_id % 10 = 0")
+def t_changed_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    known = docs.select(F.col("doc_id").alias("uri"), F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("~"))).otherwise(F.col("text")), 256).alias("hash"))
+    return text.changed_documents(known, docs, "doc_id", "text").select("doc_id")
+
+
+@_query("r_window_sliding", "SELECT CAST(count(*) * 2 AS BIGINT) AS n FROM events")
+def r_window_sliding(spark, sf_dir):
+    return ingest.sliding(table(spark, sf_dir, "events"), "ts", "2 hours", "1 hour").agg(F.sum("n").alias("n"))

@@ -252,3 +252,27 @@ def test_event_windows(spark):
     e = spark.createDataFrame([(1, at(0), 1.0), (1, at(4), 2.0), (1, at(20), 4.0)], "u int, ts timestamp, v double")
     assert sorted(r["n"] for r in ingest.tumbling(e, "ts", "10 minutes", "u", value="v").collect()) == [1, 2]
     assert ingest.sliding(e, "ts", "10 minutes", "5 minutes", "u").count() == 4 and ingest.sessions(e, "ts", "5 minutes", "u").count() == 2
+
+
+def test_migration_resumes(spark, tmp_path):
+    from glyphql.operators import migrate
+
+    T = migrate.TableDef
+    tables = [T("orders", (("id", "integer"), ("User", "text"), ("user", "jsonb[]")), ("users",)), T("users", (("id", "integer"),))]
+    problems = migrate.preflight(tables, "postgres", "mysql")
+    assert any("case only" in p for p in problems) and any("reserved" in p for p in problems) and migrate.ddl(tables[1], "postgres", "mysql") == "CREATE TABLE users (id INT)"
+    written = []
+
+    def write(name, df):
+        if name == "orders" and len(written) < 2:
+            written.append("broke")
+            raise OSError
+        written.append(name)
+
+    m = migrate.Migration(spark, lambda n: spark.range(3), write, f"file://{tmp_path}/state.json")
+    with pytest.raises(OSError):
+        m.run(tables)
+    assert m.run(tables) == {"users": 3, "orders": 3} and written == ["users", "broke", "orders"]
+    migrate.write_indexed(spark.range(100), f"file://{tmp_path}/ix", "id", files=4)
+    ix = spark.read.parquet(f"file://{tmp_path}/ix")
+    assert migrate.point(ix, "id", 7).count() == 1 and migrate.between(ix, "id", 5, 9).count() == 5 and migrate.repeated_keys(ix, "id").count() == 0
