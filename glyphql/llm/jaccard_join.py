@@ -1,20 +1,21 @@
 """Documents whose sets of word shingles are similar, by a grouped prefix join, and their connected components.
 
-1. Shingles get a global order: rare ones first, by a table of counters of fixed size, then by hash. Any order that is the
-   same for all documents gives right results; this one keeps shared lines and common phrases out of the prefixes.
+1. Shingles get a global order: rare ones first, by two tables of counters of fixed size, then by hash. Any order that is
+   the same for all documents gives right results; this one keeps common phrases (by their words' numbers) and shared lines
+   (by their own) out of the prefixes.
 2. Documents with equal sets collapse into one class, classes with equal prefixes and sizes into one group.
 3. Group pairs that share a prefix shingle are filtered by size and by the positions of that shingle.
-4. Members are verified on their whole sets. First each group is compared only with its neighbour in every shingle's
-   list, and the links found are joined into components; then, of the pairs left, those between different components are
-   all expanded and verified. A family of thousands of near copies thus costs a chain instead of all its pairs, and no
-   link that would join two components is lost.
+4. Members are verified on their whole sets. First each group is compared only with one other of every shingle's list, and
+   the links found are joined into components; then, of the pairs left, those between different components are all
+   expanded and verified. A family of thousands of near copies thus costs a few comparisons for each instead of all its
+   pairs, and no link that would join two components is lost.
 
 A document's set holds 64-bit hashes of its shingles; sizes and overlaps are exact but for collisions (about 1 in 10^12
 for a pair of documents of a thousand words).
 
 Defined results: a null text, and one without words, has the empty set and is its own component; a text with fewer words
-than a shingle has its whole sequence as one; equal sets link; of rows repeated with one id each is returned, with the
-set size of its own text and one component for the id; rows with a null id are returned as they are, unlinked; an empty
+than a shingle has its whole sequence as one; equal sets link; rows repeated with one id and text are each returned; an id
+with several texts may also link by any of them; rows with a null id are returned as they are, unlinked; an empty
 table gives an empty result; other columns are neither read nor returned, and all pass through :func:`keep_one`.
 """
 
@@ -33,9 +34,11 @@ from .common import doc_chunks, materialise, table, utf8_view
 from .components import components
 from .wordhash import SPACES, U64, shingle_hashes, word_bounds, word_hashes
 
-#: The counters of the order: their number is fixed, 4 million of one byte each when sent to the executors.
+#: The counters of the order: two tables of 4 million, of one byte each when sent to the executors.
 COUNTER_BITS = 22
 CHUNK_BITS = 16
+#: Ranks from here on are those of shingles that stand out by their own number.
+COMMON = 1 << 15
 
 
 def least_overlap(nx, ny, percent: int):
@@ -48,8 +51,8 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def document_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """The sorted set of shingle hashes of each text."""
+def document_hashes(column: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of each text's words and of its shingles, in order."""
     buf, offsets = utf8_view(column)
     for i, j in doc_chunks(offsets):
         part, offs = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -57,71 +60,112 @@ def document_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         hashes = word_hashes(part, starts, ends)
         at = np.searchsorted(starts, offs)
         for d in range(j - i):
-            yield np.unique(shingle_hashes(hashes[at[d] : at[d + 1]], words))
+            own = hashes[at[d] : at[d + 1]]
+            yield own, shingle_hashes(own, words)
+
 
+def document_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The sorted set of shingle hashes of each text."""
+    for _, shingles in document_hashes(column, words):
+        yield np.unique(shingles)
 
-def _rarity(docs: DataFrame, words: int) -> bytes:
-    """One byte for each counter: a coarse logarithm of how many shingles of all documents fall on it."""
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _counters(docs: DataFrame, words: int) -> tuple[bytes, bytes]:
+    """Of the words and of the shingles of all documents: one byte for each counter, a logarithm of how many fall on it."""
     n = 1 << COUNTER_BITS
     chunks = 1 << (COUNTER_BITS - CHUNK_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n, np.int64)
-        held: list[np.ndarray] = []
+        counts = np.zeros((2, n), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+
+        def settle() -> None:
+            for k in (0, 1):
+                counts[k] += np.bincount(_slots(np.concatenate([h[k] for h in held])), minlength=n)
+
         for batch in batches:
-            for s in document_sets(batch.column(0), words):
-                held.append(s)
-                size += len(s)
+            for hashes, shingles in document_hashes(batch.column(0), words):
+                held.append((hashes, np.unique(shingles)))
+                size += len(hashes)
                 if size > 1 << 20:
-                    counts += np.bincount((np.concatenate(held) >> U64(64 - COUNTER_BITS)).astype(np.int64), minlength=n)
+                    settle()
                     held, size = [], 0
         if held:
-            counts += np.bincount((np.concatenate(held) >> U64(64 - COUNTER_BITS)).astype(np.int64), minlength=n)
+            settle()
         if counts.any():
-            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, chunks)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
+            parts = [zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in np.split(counts.reshape(-1), 2 * chunks)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(2 * chunks), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
     def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(p), np.int64) for p in part.column("counts").to_pylist())
-        rank = np.floor(4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        total = np.zeros(1 << CHUNK_BITS, np.int64)
+        for p in part.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(p), np.uint32)
+        rank = np.floor(6 * np.log2(np.maximum(total, 1))).astype(np.uint8)
         return pa.table({"chunk": part.column("chunk")[:1].cast(pa.int32()), "rank": pa.array([zlib.compress(rank.tobytes())], pa.binary())})
 
     rows = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, rank binary")
-    out = np.zeros(n, np.uint8)
-    for r in rows.collect():  # 64 rows of 64 KB at most
+    out = np.zeros(2 * n, np.uint8)
+    for r in rows.collect():  # 128 rows of 64 KB at most
         out[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(bytes(r["rank"])), np.uint8)
-    return out.tobytes()
+    return out[:n].tobytes(), out[n:].tobytes()
+
+
+def shingle_ranks(hashes: np.ndarray, shingles: np.ndarray, words: int, of_words: np.ndarray, of_shingles: np.ndarray, usual: float) -> np.ndarray:
+    """How common each shingle is: the sum of its words' logarithms, as if words met by chance; but where its own counter
+    stands out above the usual one, that counter's."""
+    by_word = of_words[_slots(hashes)].astype(np.int64)
+    if len(hashes) < words:
+        chance = by_word.sum(keepdims=True)
+    else:
+        chance = by_word[: len(shingles)].copy()
+        for k in range(1, words):
+            chance += by_word[k : k + len(shingles)]
+    own = of_shingles[_slots(shingles)].astype(np.int64)
+    return np.where(own > usual, COMMON + own, np.minimum(chance, COMMON - 1))
 
 
 def _profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``id, n, digest, prefix``: set size, digest of the set, and its rarest shingles in order."""
-    ranks = docs.sparkSession.sparkContext.broadcast(_rarity(docs, words))
+    """``id, n, digest, key, prefix``: set size, digests of the set and of its prefix, and the prefix, rarest first."""
+    tables = docs.sparkSession.sparkContext.broadcast(_counters(docs, words))
     id_type = docs.schema["id"].dataType.simpleString()
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(ranks.value, np.uint8)
+        of_words, of_shingles = (np.frombuffer(t, np.uint8) for t in tables.value)
+        mean = np.exp2(of_shingles / 6.0).mean()
+        usual = 6 * np.log2(mean + 4 * mean**0.5 + 4)
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
-            for s in document_sets(batch.column(1), words):
+            sizes, digests, keys, prefixes = [], [], [], []
+            for hashes, shingles in document_hashes(batch.column(1), words):
+                s, at = np.unique(shingles, return_index=True)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                first = np.zeros(0, np.uint64)
                 if len(s):
-                    key = rank[(s >> U64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << U64(56) | s >> U64(8)
+                    rank = shingle_ranks(hashes, shingles, words, of_words, of_shingles, usual)[at]
+                    order = rank.astype(np.uint64) << U64(48) | s >> U64(16)
                     p = prefix_length(len(s), percent)
-                    first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
-                    prefixes.append(s[first[np.lexsort((s[first], key[first]))]].view(np.int64))
-                else:
-                    prefixes.append(np.zeros(0, np.int64))
+                    some = np.argpartition(order, p - 1)[:p] if p < len(s) else np.arange(len(s))
+                    first = s[some[np.lexsort((s[some], order[some]))]]
+                keys.append(hashlib.blake2b(first.tobytes(), digest_size=16).digest())
+                prefixes.append(first.view(np.int64))
             offs = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), tokens], ["id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), tokens], ["id", "n", "digest", "key", "prefix"])
 
-    return docs.select("id", "text").mapInArrow(profile, f"id {id_type}, n int, digest binary, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(profile, f"id {id_type}, n int, digest binary, key binary, prefix array<long>")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets link, each set read whole."""
+def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sets link, each set built again from the whole text."""
+    pairs = materialise(pairs, "pairs")
+    # Written, so that its size is known: texts are shuffled only if the ids are too many to be sent along.
+    wanted = materialise(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+    sets = materialise(_sets(docs.where("id is not null").join(wanted, "id", "left_semi"), words), "sets")
     joined = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -140,57 +184,52 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     t = pairs.schema["a"].dataType.simpleString()
-    return joined.mapInArrow(check, f"a {t}, b {t}")
+    return materialise(joined.mapInArrow(check, f"a {t}, b {t}").distinct(), "links")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """id, ``n_shingles``, ``component_id`` of every row."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     profiles = materialise(_profiles(docs, words, percent), "profiles")
+    known = profiles.where("n > 0 and id is not null")
 
-    # Equal sets are one class, named by its smallest id.
-    classes = profiles.where("n > 0 and id is not null").groupBy("digest").agg(
-        F.min("id").alias("cls"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-    )
-    classes = materialise(classes, "classes")
-    keyed = classes.select("cls", "n", "prefix", F.sha2(F.to_json("prefix"), 256).alias("key"))
-    groups = keyed.groupBy("key", "n").agg(F.min("cls").alias("gid"), F.count(F.lit(1)).alias("size"), F.first("prefix").alias("prefix"))
-    groups = materialise(groups, "groups")
+    # Equal sets are one class, named by its smallest id; classes with equal prefixes and sizes are one group.
+    classes = materialise(known.groupBy("digest", "key", "n").agg(F.min("id").alias("cls")), "classes")
+    groups = materialise(classes.groupBy("key", "n").agg(F.min("cls").alias("gid"), F.count(F.lit(1)).alias("size")), "groups")
     many = groups.where("size > 1").select("key", "n", "gid")
-    members = materialise(keyed.join(many, ["key", "n"]).select("gid", "cls"), "members")  # of groups of two and more
+    members = materialise(classes.join(many, ["key", "n"]).select("gid", "cls", "n"), "members")  # of groups of two and more
 
     # The lists of prefix shingles; a row stays only if the next larger or smaller group is of a size that could link.
-    tokens = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "tok"))
-    inside = members.join(many.select("gid", "n"), "gid").select(F.col("cls").alias("gid"), "n", F.lit(0).alias("pos"), F.xxhash64(F.lit("group"), "gid").alias("tok"))
+    by_id = known.select("id", "key", "n", "prefix").join(groups.select(F.col("gid").alias("id"), "key", "n"), ["id", "key", "n"]).dropDuplicates(["id", "key"])
+    tokens = by_id.select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "tok"))
+    inside = members.select(F.col("cls").alias("gid"), "n", F.lit(0).alias("pos"), F.xxhash64(F.lit("group"), "gid").alias("tok"))
     by_size = Window.partitionBy("tok").orderBy("n", "gid")
-    tokens = tokens.unionAll(inside.select("gid", "n", "pos", "tok")).select(
-        "*", *(f("n").over(by_size).alias(f"{w}_n") for w, f in (("prev", F.lag), ("next", F.lead)))
-    )
+    tokens = tokens.unionAll(inside).select("*", *(f("n").over(by_size).alias(f"{w}_n") for w, f in (("prev", F.lag), ("next", F.lead))))
     could = lambda m: F.least("n", m) * (100 + percent) >= (F.col("n") + F.col(m)) * percent
     tokens = materialise(tokens.where(could("prev_n") | could("next_n")).select("tok", "gid", "n", "pos"), "tokens")
 
-    wanted = tokens.select(F.col("gid").alias("id")).unionAll(members.select(F.col("cls").alias("id"))).distinct()
-    set_rows = docs.where("id is not null").join(wanted, "id", "left_semi")
-    # A repeated id has several texts; its class stands for the one whose digest gave it, so keep the digest in the key.
-    sets = materialise(_sets(set_rows, words).join(classes.select(F.col("cls").alias("id"), "digest"), ["id", "digest"]).select("id", "set").dropDuplicates(["id"]), "sets")
-
     def fits(n1, p1, n2, p2) -> F.Column:
         bound = F.least(F.least(n1 - p1, n2 - p2), F.least(n1, n2))
         return bound * (100 + percent) >= (n1 + n2) * percent
 
-    neighbours = tokens.select(
-        F.col("gid").alias("a"), "n", "pos", *(F.lag(c).over(by_size).alias(f"o{c}") for c in ("gid", "n", "pos"))
-    ).where(F.col("ogid").isNotNull() & fits(F.col("n"), F.col("pos"), F.col("on"), F.col("opos")))
-    pairs = neighbours.select(F.least("a", "ogid").alias("a"), F.greatest("a", "ogid").alias("b")).where("a <> b").distinct()
-    pairs = materialise(pairs, "pairs")
-    links = materialise(_verify(pairs, sets, percent), "links")
+    # First pairs: every group with the smallest one in the list, or with its neighbour by size where that cannot link.
+    whole = Window.partitionBy("tok")
+    least = F.min(F.struct("gid", "n", "pos")).over(whole)
+    near = F.struct(*(F.lag(c).over(by_size).alias(c) for c in ("gid", "n", "pos")))
+    listed = tokens.select(F.col("gid").alias("a"), "n", "pos", least.alias("least"), near.alias("near"))
+    ok = lambda o: F.col(f"{o}.gid").isNotNull() & (F.col(f"{o}.gid") != F.col("a")) & fits(F.col("n"), F.col("pos"), F.col(f"{o}.n"), F.col(f"{o}.pos"))
+    other = F.when(ok("least"), F.col("least.gid")).when(ok("near"), F.col("near.gid"))
+    pairs = listed.select("a", other.alias("o")).where("o is not null").select(F.least("a", "o").alias("a"), F.greatest("a", "o").alias("b"))
+    pairs = materialise(pairs.distinct(), "pairs")
+    links = _verify(pairs, docs, words, percent)
     first = materialise(components(links, "a", "b"), "components")
 
     # What is left: pairs in one list whose members are in different components.
-    listed = tokens.join(members.withColumnRenamed("cls", "member"), "gid", "left").select("tok", F.coalesce("member", "gid").alias("cls"), "n", "pos")
+    listed = tokens.join(members.select("gid", F.col("cls").alias("member")), "gid", "left").select("tok", F.coalesce("member", "gid").alias("cls"), "n", "pos")
     listed = listed.distinct().join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    per_list = listed.groupBy("tok", "component").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("pos").alias("least_pos"))
-    per_list = materialise(per_list.select("*", F.count(F.lit(1)).over(Window.partitionBy("tok")).alias("k")).where("k > 1").drop("k"), "lists")
+    listed = materialise(listed, "listed")
+    per_list = listed.groupBy("tok", "component").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    per_list = materialise(per_list.select("*", F.count(F.lit(1)).over(whole).alias("k")).where("k > 1").drop("k"), "lists")
     one, two = (per_list.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("component", "least_n", "most_n"))) for k in (1, 2))
     apart = one.join(two, "tok").where("component1 < component2").where(
         (F.col("most_n1") * 100 >= F.col("least_n2") * percent) & (F.col("most_n2") * 100 >= F.col("least_n1") * percent)
@@ -198,7 +237,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left, right = (listed.select("tok", F.col("component").alias(f"component{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "pos"))) for k in (1, 2))
     rest = apart.join(left, ["tok", "component1"]).join(right, ["tok", "component2"]).where(fits(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
     rest = rest.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialise(_verify(rest, sets, percent), "links")
+    more = _verify(rest, docs, words, percent)
     joined = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
 
     roots = classes.select("digest", "cls").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("digest", F.coalesce("component", "cls").alias("component"))
@@ -209,15 +248,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """``id, set``: sorted 64-bit hashes. A repeated id stands for the union of its rows' sets only if they are equal."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                sets = [s.tobytes() for s in document_sets(part.column(1), words)]
-                digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in document_sets(part.column(1), words)], pa.binary())], ["id", "set"])
 
-    return docs.select("id", "text").mapInArrow(build, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, set binary")
+    return docs.select("id", "text").mapInArrow(build, f"id {docs.schema['id'].dataType.simpleString()}, set binary")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

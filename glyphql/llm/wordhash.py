@@ -69,7 +69,7 @@ def shingle_hashes(hashes: np.ndarray, words: int = 3) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.uint64)
     if n < words:
-        return mix((hashes * _PLACES[:n]).sum(keepdims=True, dtype=np.uint64) + SHORT * U64(n))
+        return mix((hashes * _PLACES[:n]).sum(keepdims=True, dtype=np.uint64) + SHORT * np.full(1, n, np.uint64))
     total = hashes[: n - words + 1] * _PLACES[0]
     for k in range(1, words):
         total += hashes[k : n - words + 1 + k] * _PLACES[k]
