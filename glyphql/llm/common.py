@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,9 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = f"file://{tempfile.gettempdir()}/glyphql-shared"
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    folder = tempfile.mkdtemp(prefix="glyphql-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    return f"file://{folder}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
