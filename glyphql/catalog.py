@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,21 @@ class Catalog:
 
     def __post_init__(self) -> None:
         self._prefix = f"glyph_{next(_SERIAL)}_"
+        self._loaders: dict[str, Callable[[], DataFrame]] = {}
 
     def register(self, name: str, df: DataFrame) -> None:
+        self._loaders.pop(name, None)
         df.createOrReplaceTempView(self.view(name))
         self.tables[name] = df
 
+    def register_lazily(self, name: str, load: Callable[[], DataFrame]) -> None:
+        """A table that is opened when a query first names it."""
+        self.tables.pop(name, None)
+        self._loaders[name] = load
+
+    def has(self, name: str) -> bool:
+        return name in self.tables or name in self._loaders
+
     def drop(self, name: str) -> None:
         self.get(name)
         self.spark.catalog.dropTempView(self.view(name))
@@ -41,8 +52,10 @@ class Catalog:
         return self._prefix + "".join(c if c.isalnum() else f"_{ord(c)}_" for c in name)
 
     def get(self, name: str) -> DataFrame:
+        if name in self._loaders:
+            self.register(name, self._loaders[name]())
         if name not in self.tables:
-            raise CatalogProblem(f"unknown table {name!r}; known: {', '.join(sorted(self.tables))}")
+            raise CatalogProblem(f"unknown table {name!r}; known: {', '.join(sorted({*self.tables, *self._loaders}))}")
         return self.tables[name]
 
     def add_foreign_key(self, child: str, child_column: str, parent: str, parent_column: str) -> None:

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     e = Engine(spark, now=NOW)
     for t in TABLES:
-        e.register(t, table(spark, sf_dir, t))
+        e.register(t, f"{sf_dir}/{t}.parquet")
     return e
 
 
