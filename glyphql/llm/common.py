@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -73,6 +75,16 @@ def utf8_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker process lives on for tasks of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def doc_chunks(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges [i, j) of documents that hold about ``most`` bytes, one document at least."""
     i, n = 0, len(offsets) - 1

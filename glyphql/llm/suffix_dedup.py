@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, fresh_path, materialise, shuffle_partitions, table, utf8_view
+from .common import doc_chunks, fresh_path, materialise, release, shuffle_partitions, table, utf8_view
 from .wordhash import BYTE_KEYS, U64, mix
 
 LENGTH = 50
@@ -44,7 +44,7 @@ GRAM = 24
 #: Longer texts are searched in parts that overlap by a window less one byte.
 PART_BYTES = 8 << 20
 #: Anchors that a task holds before it sends them.
-HELD = 4_000_000
+HELD = 1_500_000
 NO_ID = np.iinfo(np.int64).max
 
 _KEYS = BYTE_KEYS.copy()
@@ -180,6 +180,8 @@ def _hash_runs(docs: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
                 serial += len(rows)
         if size:
             yield flush()
+        held.clear()
+        release()
 
     return docs.mapInArrow(run, "bucket int, file int, hashes binary, several binary")
 
@@ -321,12 +323,14 @@ def _suffix_runs(docs: DataFrame, shared_path: str, length: int, gram: int, bits
                         sides = _surroundings(part, at[keep], low[keep], high[keep], length, gram)
                         held.append((hashes[keep], ids[row[keep]], index[row[keep]], place[keep], *sides))
                         size += len(keep)
-                    if size > HELD // 4:
+                    if size > HELD // 5:
                         yield flush()
                         held, size = [], 0
                         cache.clear()
         if size:
             yield flush()
+        held.clear()
+        release()
 
     return docs.mapInArrow(run, "bucket int, file int, n int, numbers binary, rests binary, lefts binary, covered binary")
 
