@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 
 SIZE = 400
 UNKNOWN = "und"
@@ -122,6 +122,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
             settle(lang)
         for lang in list(total):
             yield rows_of(lang)
+        release()
 
     counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
