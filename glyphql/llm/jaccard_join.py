@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, materialise, table, utf8_view
+from .common import doc_chunks, materialise, release, table, utf8_view
 from .components import components
 from .wordhash import SPACES, U64, shingle_hashes, word_bounds, word_hashes
 
 #: The counters of the order: two tables of 4 million, of one byte each when sent to the executors.
 COUNTER_BITS = 22
 CHUNK_BITS = 16
+#: Further rounds between neighbours before all remaining pairs are verified; they change the cost, not the result.
+CHEAP_ROUNDS = 1
 #: Ranks from here on are those of shingles that stand out by their own number.
 COMMON = 1 << 15
 
@@ -80,13 +82,14 @@ def _counters(docs: DataFrame, words: int) -> tuple[bytes, bytes]:
     chunks = 1 << (COUNTER_BITS - CHUNK_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, n), np.int64)
+        counts = np.zeros((2, n), np.uint32)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def settle() -> None:
             for k in (0, 1):
-                counts[k] += np.bincount(_slots(np.concatenate([h[k] for h in held])), minlength=n)
+                at, times = np.unique(_slots(np.concatenate([h[k] for h in held])), return_counts=True)
+                counts[k, at] += times.astype(np.uint32)
 
         for batch in batches:
             for hashes, shingles in document_hashes(batch.column(0), words):
@@ -98,8 +101,10 @@ def _counters(docs: DataFrame, words: int) -> tuple[bytes, bytes]:
         if held:
             settle()
         if counts.any():
-            parts = [zlib.compress(p.astype(np.uint32).tobytes(), 1) for p in np.split(counts.reshape(-1), 2 * chunks)]
+            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts.reshape(-1), 2 * chunks)]
             yield pa.RecordBatch.from_arrays([pa.array(range(2 * chunks), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
+        del counts
+        release()
 
     def add(part: pa.Table) -> pa.Table:
         total = np.zeros(1 << CHUNK_BITS, np.int64)
@@ -156,6 +161,7 @@ def _profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
             offs = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), tokens], ["id", "n", "digest", "key", "prefix"])
+        release()
 
     return docs.select("id", "text").mapInArrow(profile, f"id {id_type}, n int, digest binary, key binary, prefix array<long>")
 
@@ -224,21 +230,36 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verify(pairs, docs, words, percent)
     first = materialise(components(links, "a", "b"), "components")
 
-    # What is left: pairs in one list whose members are in different components.
-    listed = tokens.join(members.select("gid", F.col("cls").alias("member")), "gid", "left").select("tok", F.coalesce("member", "gid").alias("cls"), "n", "pos")
-    listed = listed.distinct().join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    listed = materialise(listed, "listed")
-    per_list = listed.groupBy("tok", "component").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    # A few rounds of the same kind, between neighbours by size that are still in different components.
+    tried, nodes = pairs, first
+    for _ in range(CHEAP_ROUNDS):
+        listed = _listed(tokens, members, nodes)
+        beside = Window.partitionBy("tok").orderBy("n", "cls")
+        beside = listed.select("*", *(F.lag(c).over(beside).alias(f"o_{c}") for c in ("cls", "n", "pos", "component")))
+        beside = beside.where((F.col("component") != F.col("o_component")) & fits(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos")))
+        beside = beside.select(F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        beside = materialise(beside, "pairs")
+        more = _verify(beside, docs, words, percent)
+        tried = tried.unionAll(beside)
+        if more.isEmpty():
+            break
+        nodes = materialise(components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b"), "components")
+
+    # What is left: all pairs in one list whose members are in different components.
+    listed = materialise(_listed(tokens, members, nodes), "listed")
+    per_list = listed.groupBy("tok", "component").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     per_list = materialise(per_list.select("*", F.count(F.lit(1)).over(whole).alias("k")).where("k > 1").drop("k"), "lists")
-    one, two = (per_list.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("component", "least_n", "most_n"))) for k in (1, 2))
+    one, two = (per_list.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("component", "least_n", "most_n", "rest"))) for k in (1, 2))
+    # Two components can link only if sizes and positions of some members allow it.
     apart = one.join(two, "tok").where("component1 < component2").where(
         (F.col("most_n1") * 100 >= F.col("least_n2") * percent) & (F.col("most_n2") * 100 >= F.col("least_n1") * percent)
+        & (F.least("rest1", "rest2") * (100 + percent) >= (F.col("least_n1") + F.col("least_n2")) * percent)
     ).select("tok", "component1", "component2")
     left, right = (listed.select("tok", F.col("component").alias(f"component{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "pos"))) for k in (1, 2))
     rest = apart.join(left, ["tok", "component1"]).join(right, ["tok", "component2"]).where(fits(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
-    rest = rest.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = rest.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _verify(rest, docs, words, percent)
-    joined = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
+    joined = components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
 
     roots = classes.select("digest", "cls").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("digest", F.coalesce("component", "cls").alias("component"))
     out = profiles.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(roots, "digest", "left")
@@ -247,6 +268,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _listed(tokens: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The lists with every member of a group, and its component so far: ``tok, cls, n, pos, component``."""
+    rows = tokens.join(members.select("gid", F.col("cls").alias("member")), "gid", "left").select("tok", F.coalesce("member", "gid").alias("cls"), "n", "pos").distinct()
+    return rows.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """``id, set``: sorted 64-bit hashes. A repeated id stands for the union of its rows' sets only if they are equal."""
 
@@ -263,6 +290,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """The rows of ``docs``, with all their columns, without those whose component has a smaller id."""
     found = similar_components(docs, id_col, text_col, words, percent)
     drop = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_drop_id")).distinct()
+    drop = materialise(drop, "dropped")  # of known size: the texts are shuffled only if it is large
     return docs.join(drop, F.col(id_col) == F.col("_drop_id"), "left_anti")
 
 
