@@ -224,6 +224,18 @@ def fuse(candidates: DataFrame, lexical: DataFrame, vector: DataFrame, top_k: in
     return lanes.where(F.col("score").isNotNull() | F.col("similarity").isNotNull()).select("id", F.round(total, 6).alias("score")).orderBy(F.desc("score"), "id").limit(top_k)
 
 
+def hybrid(index: TextIndex, query: str, vectors: DataFrame, id_col: str, vector_col: str, vector: list[float], candidates: Column | None = None, top_k: int = 10) -> DataFrame:
+    """``id, score`` of the three lanes. Each lane narrows before it ranks: the lexical lane takes its best of the candidates
+    (a condition on the index's documents), the vector lane its best of the lexical shortlist, or of the candidates if that is empty."""
+    ids = (index.documents if candidates is None else index.documents.where(candidates)).select("id")
+    found = index.search(query, LEXICAL_TOP, candidates)
+    best = found.collect()  # of fixed size; both lanes read it
+    lexical = ids.sparkSession.createDataFrame(best, found.schema)
+    among = lexical.select("id") if best else ids
+    near = nearest(vectors.join(among.withColumnRenamed("id", "_among"), F.col(id_col) == F.col("_among"), "left_semi"), id_col, vector_col, vector, VECTOR_TOP)
+    return fuse(ids, lexical, near, top_k)
+
+
 def grounding(hits: DataFrame) -> DataFrame:
     """One row: status by the number of supporting chunks (three and more, one or two, none), and how many."""
     n = F.count(F.lit(1))

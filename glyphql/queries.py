@@ -347,12 +347,23 @@ def t_chunk_counts(spark, sf_dir):
     return text.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@_query("t_hybrid")
+@_query("t_hybrid", r"""
+WITH w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, lang, len(w) AS n FROM w), c AS (SELECT count(*) AS docs, avg(n) AS mean FROM l),
+p AS (SELECT doc_id, t, count(*) AS f FROM (SELECT doc_id, unnest(w) AS t FROM w) WHERE t IN ('the', 'of') GROUP BY 1, 2),
+d AS (SELECT t, count(*) AS df FROM p GROUP BY 1),
+lex AS (SELECT doc_id AS id, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
+  FROM p JOIN d USING (t) JOIN l USING (doc_id), c WHERE lang = 'en' GROUP BY 1 HAVING count(*) = 2 ORDER BY score DESC, id LIMIT 100),
+q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+vec AS (SELECT vec_id AS id, round((list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) + 1) / 2, 6) AS similarity FROM embeddings, q
+  WHERE vec_id IN (SELECT id FROM lex) OR (NOT EXISTS (SELECT 1 FROM lex) AND vec_id IN (SELECT doc_id FROM l WHERE lang = 'en')) ORDER BY similarity DESC, id LIMIT 50)
+SELECT id, round(0.10 + 0.25 * coalesce(score / nullif((SELECT max(score) FROM lex), 0), 0) + 0.65 * coalesce(similarity, 0), 6) AS score
+FROM lex FULL JOIN vec USING (id) ORDER BY score DESC, id LIMIT 10""")
 def t_hybrid(spark, sf_dir):
     docs, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    lexical = text.TextIndex.build(docs.select("doc_id", "text"), "doc_id", "text").search("the of", text.LEXICAL_TOP)
-    vector = text.nearest(e, "vec_id", "embedding", [float(x) for x in e.where("vec_id = 0").first()["embedding"]], text.VECTOR_TOP)
-    return text.fuse(docs.where("lang = 'en'").select(F.col("doc_id").alias("id")), lexical, vector)
+    index = text.TextIndex.build(docs.select("doc_id", "text", "lang"), "doc_id", "text")
+    vector = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
+    return text.hybrid(index, "the of", e, "vec_id", "embedding", vector, F.col("lang") == "en")
 
 
 @_query("t_grounding", "SELECT CAST(count(*) AS BIGINT) AS n, CASE WHEN count(*) >= 3 THEN 'GROUNDED' WHEN count(*) >= 1 THEN 'PARTIAL' ELSE 'UNGROUNDED' END AS status FROM nation WHERE n_regionkey = 1")

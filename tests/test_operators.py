@@ -168,6 +168,21 @@ def test_chunks_and_search(spark):
     assert text.changed_documents(known, arriving, "uri", "body").count() == 2
 
 
+def test_hybrid_narrows_before_it_ranks(spark, monkeypatch):
+    monkeypatch.setattr(text, "LEXICAL_TOP", 2)
+    monkeypatch.setattr(text, "VECTOR_TOP", 2)
+    # Others are better in both lanes: 1 to 3 hold the word more often, and their vectors and those of 6 and 7 are nearer.
+    docs = spark.createDataFrame([(i, "fr" if i < 4 else "en", "big " * max(1, 6 - i) if i < 6 else "other") for i in range(1, 12)], "id int, lang string, body string")
+    v = spark.createDataFrame([(i, [1.0, 0.0] if i in (1, 2, 3, 6, 7) else [1.0, float(i)]) for i in range(1, 12)], "vec int, e array<double>")
+    ix = text.TextIndex.build(docs, "id", "body")
+    en = F.col("lang") == "en"
+    got = text.hybrid(ix, "big", v, "vec", "e", [1.0, 0.0], en).collect()
+    cosine = {i: (1 + 1 / (1 + i * i) ** 0.5) / 2 for i in (4, 5)}
+    assert [r["id"] for r in got] == [4, 5] and got[0]["score"] == pytest.approx(0.35 + 0.65 * cosine[4], abs=1e-5) and got[1]["score"] > 0.1 + 0.65 * cosine[5]
+    assert [tuple(r) for r in text.hybrid(ix, "absent", v, "vec", "e", [1.0, 0.0], en).collect()] == [(6, 0.75), (7, 0.75)]
+    assert text.hybrid(ix, "big", v, "vec", "e", [1.0, 0.0], F.col("lang") == "de").count() == 0
+
+
 def test_vectors_fusion_grounding(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [2.0, 0.0])], "id int, e array<float>")
     near = text.nearest(v, "id", "e", [3.0, 0.0], 3)
