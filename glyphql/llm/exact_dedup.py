@@ -7,14 +7,15 @@ The verdict then returns to the rows by an equi-join on (digest, length), both s
 execution can split a hot digest.
 
 Defined results: a null text counts as empty, all empty texts are one group; of equal texts the row with the largest id
-stays; rows repeated with the same id belong to one group and each of them is returned, ``kept`` holds for all rows of
-the kept id; a null id never wins against another id; an empty table gives an empty result; columns of the input other
-than id and text are neither read nor returned by :func:`classes` and all pass through :func:`keep`.
+stays; rows repeated with the same id belong to one group and each of them is returned by :func:`classes`, where ``kept``
+holds for all rows of the kept id, while :func:`keep` returns one row of each text, also if ids repeat or are null; a null
+id never wins against another id; an empty table gives an empty result; columns of the input other than id and text are
+neither read nor returned by :func:`classes` and all pass through :func:`keep`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, table
@@ -57,9 +58,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = winners(docs, id_col, text_col, salts).select(F.col("_keep").alias("_stay_id"))
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")), "left_semi")
+    """One row of each distinct text, with all its columns; of rows that repeat both text and id, the one whose columns hash least."""
+    # Ids as strings beside their nulls: plain equality, so that the join's partitions also serve the window.
+    key = lambda c: (F.coalesce(c.cast("string"), F.lit("")).alias("_key"), c.isNull().alias("_null"))
+    stay = winners(docs, id_col, text_col, salts).select("_sha", *key(F.col("_keep")))
+    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    least = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind))
+    rows = docs.select(F.struct("*").alias("_row"), F.sha2(norm, 256).alias("_sha"), *key(F.col(id_col)), least.alias("_least"))
+    same = ["_sha", "_key", "_null"]
+    return (
+        rows.join(stay, same, "left_semi")
+        .withColumn("_place", F.row_number().over(Window.partitionBy(*same).orderBy("_least")))
+        .where("_place = 1").select("_row.*")
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

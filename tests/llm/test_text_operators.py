@@ -212,6 +212,13 @@ def test_exact_dedup(docs, spark):
     assert [(r.group_size, r.kept) for r in twice] == [(4, True)] * 2
 
 
+def test_exact_dedup_keeps_one_row_of_each_text_whatever_the_ids(spark):
+    rows = [(1, "a", "x"), (2, "A", "y"), (2, "b", "x"), (3, "b", "z"), (2, "a", "y"), (None, "c", "x"), (None, "C", "y"), (None, "b", "x"), (None, None, "x"), (4, "e", "x"), (4, "e", "x")]
+    kept = exact_dedup.keep(spark.createDataFrame(rows, "doc_id long, text string, _sha string")).collect()
+    assert sorted(((r.doc_id or 0, lower(r.text)) for r in kept)) == [(0, ""), (0, "c"), (2, "a"), (3, "b"), (4, "e")]
+    assert all((r.doc_id, r.text, r._sha) in rows for r in kept)
+
+
 # Language ID
 
 
