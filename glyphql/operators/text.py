@@ -46,7 +46,7 @@ def tokens(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """documents: ``id, length`` and what else they carry; postings: ``term, id, tf``."""
+    """documents: ``id, length, digest`` (of all columns, texts whole) and what else they carry; postings: ``term, id, tf``."""
 
     documents: DataFrame
     postings: DataFrame
@@ -55,7 +55,8 @@ class TextIndex:
     def build(docs: DataFrame, id_col: str, *text_cols: str) -> TextIndex:
         words = tokens(F.concat_ws(" ", *(F.col(c) for c in text_cols)))
         rows = docs.withColumn("_words", words)
-        documents = rows.withColumns({"id": F.col(id_col), "length": F.size("_words")}).drop("_words")
+        whole = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(docs.columns))), {"ignoreNullFields": "false"}), 256)
+        documents = rows.withColumns({"id": F.col(id_col), "length": F.size("_words"), "digest": whole}).drop("_words")
         postings = rows.select(F.col(id_col).alias("id"), F.explode("_words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
         return TextIndex(documents, postings)
 
@@ -92,10 +93,10 @@ class TextIndex:
         return df.join(ids.select(F.col(id_col).alias("_gone")).distinct(), F.col("id") == F.col("_gone"), "left_anti")
 
     def digest(self) -> str:
-        """SHA-256 over the ids and texts' lengths in order of ids, streamed."""
+        """SHA-256 over the ids and the documents' digests in order of both, streamed."""
         out = hashlib.sha256()
-        for r in self.documents.select("id", "length").orderBy("id").toLocalIterator():
-            out.update(f"{r['id']}:{r['length']}\n".encode())
+        for r in self.documents.select("id", "digest").orderBy("id", "digest").toLocalIterator():
+            out.update(f"{r['id']}:{r['digest']}\n".encode())
         return out.hexdigest()
 
 

@@ -183,6 +183,14 @@ def test_hybrid_narrows_before_it_ranks(spark, monkeypatch):
     assert text.hybrid(ix, "big", v, "vec", "e", [1.0, 0.0], F.col("lang") == "de").count() == 0
 
 
+def test_index_digest_covers_texts_and_metadata(spark):
+    digest = lambda *rows: text.TextIndex.build(spark.createDataFrame(rows, "key int, body string, lang string"), "key", "body").digest()
+    first = digest((1, "two words", "en"), (2, None, "fr"))
+    assert first == digest((2, None, "fr"), (1, "two words", "en"))
+    others = [digest((1, "two others", "en"), (2, None, "fr")), digest((1, "two words", "de"), (2, None, "fr")), digest((1, "Two words", "en"), (2, None, "fr")), digest((1, "two words", "en"), (2, "", "fr"))]
+    assert len({first, *others}) == 5
+
+
 def test_vectors_fusion_grounding(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [2.0, 0.0])], "id int, e array<float>")
     near = text.nearest(v, "id", "e", [3.0, 0.0], 3)
