@@ -44,6 +44,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def query_words(query: str) -> list[str]:
+    return re.findall(r"[^\W_]+", query.lower())
+
+
+def matches(query: str, *text_cols: str) -> Column:
+    """Whether a row's texts hold every term of the query: the rows that a search ranks, without a limit. No terms match nothing."""
+    words = tokens(F.concat_ws(" ", *(F.col(c) for c in text_cols)))
+    terms = sorted(set(query_words(query)))
+    return F.size(F.array_except(F.array(*map(F.lit, terms)), words)) == 0 if terms else F.lit(False)
+
+
 @dataclass(frozen=True)
 class TextIndex:
     """documents: ``id, length, digest`` (of all columns, texts whole) and what else they carry; postings: ``term, id, tf``."""
@@ -64,7 +75,7 @@ class TextIndex:
         """``id, score`` of the best documents that hold every term of the query, of equals the smaller id first.
 
         Term weights and the mean length are those of the whole corpus; candidates narrow before ranking."""
-        words = re.findall(r"[^\W_]+", (normalise(query) if fold else query).lower())
+        words = query_words(normalise(query) if fold else query)
         if not words:
             return self.documents.select("id", F.lit(0.0).alias("score")).limit(0)
         terms = sorted(set(words))

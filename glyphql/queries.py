@@ -334,6 +334,13 @@ def t_bm25(spark, sf_dir):
     return text.TextIndex.build(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").search("License, work!", 10)
 
 
+@_query("p_search", r"""
+SELECT doc_id FROM (SELECT doc_id, lang, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS w FROM documents)
+WHERE list_contains(w, 'license') AND list_contains(w, 'work') AND lang = 'en'""")
+def p_search(spark, sf_dir):
+    return engine(spark, sf_dir).text_index("documents", "text").query("*3[documents]::doc_id+{SEARCH('License, work!')}|lang='en'>>oQ")
+
+
 @_query("t_vector_topk", """
 WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
 SELECT vec_id AS id, round((list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) + 1) / 2, 6) AS similarity FROM embeddings, q ORDER BY similarity DESC, id LIMIT 10""")

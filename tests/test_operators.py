@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from glyphql.engine import Engine
 from glyphql.functions.library import operator
 from glyphql.functions.names import UnsupportedFunction, call, classify, date_pattern
 from glyphql.operators import dialects, joins, pipeline, rules, statistics, text
@@ -183,6 +184,15 @@ def test_hybrid_narrows_before_it_ranks(spark, monkeypatch):
     assert text.hybrid(ix, "big", v, "vec", "e", [1.0, 0.0], F.col("lang") == "de").count() == 0
 
 
+def test_search_predicate_keeps_every_match(spark):
+    docs = spark.createDataFrame([(i, "Big data" if i % 2 else "big" if i else None) for i in range(300)] + [(1, "data is BIG"), (None, "big, data")], "id int, body string")
+    e = Engine(spark).register("d", docs).text_index("d", "body")
+    assert e.query("*3[d]::id+{SEARCH('big data!')}").count() == 152 and e.query("*3[d]::d.id+{SEARCH('big')}|id<10").count() == 10
+    assert e.query("*3[d]::id+{SEARCH('--')}").count() == 0
+    with pytest.raises(ValueError):
+        Engine(spark).register("d", docs).query("*3[d]::id+{SEARCH('big')}")
+
+
 def test_index_digest_covers_texts_and_metadata(spark):
     digest = lambda *rows: text.TextIndex.build(spark.createDataFrame(rows, "key int, body string, lang string"), "key", "body").digest()
     first = digest((1, "two words", "en"), (2, None, "fr"))
