@@ -127,3 +127,28 @@ def data_parity(source: dict[str, DataFrame], target: dict[str, DataFrame]) -> d
             gone, new = a.exceptAll(b).count(), b.exceptAll(a).count()
             out[name] = {"data": "MISMATCH" if gone or new else "MATCH", "types": "MATCH" if same_types else "MISMATCH", "source_only_rows": gone, "target_only_rows": new}
     return out
+
+
+#: Kinds of declared constraints: columns of the key; groups of unique columns; (columns, table, its columns); columns; names; a column.
+CONSTRAINTS = ("primary_keys", "unique_constraints", "foreign_keys", "not_null", "indexes", "identity_column")
+
+
+def constraint_parity(source: dict[str, dict], target: dict[str, dict]) -> dict[str, dict[str, str]]:
+    """Of each table and kind of constraint, declared in any order: MATCH, MISMATCH, SOURCE_ONLY, TARGET_ONLY, or N/A if neither has any.
+
+    A kind that is missing has no constraints, an unknown one is an error; the order of a list does not count, that within its entries does."""
+    unknown = {k for side in (source, target) for kinds in side.values() for k in kinds} - set(CONSTRAINTS)
+    if unknown:
+        raise ValueError(f"unknown constraints {sorted(unknown)}")
+
+    def declared(kinds: dict, kind: str) -> set[str]:
+        value = kinds.get(kind)
+        entries = [] if value is None else [value] if isinstance(value, str) else value
+        return {json.dumps(x, sort_keys=True, default=str) for x in entries}
+
+    def status(a: set[str], b: set[str]) -> str:
+        if not a and not b:
+            return "N/A"
+        return "MATCH" if a == b else "SOURCE_ONLY" if not b else "TARGET_ONLY" if not a else "MISMATCH"
+
+    return {t: {k: status(declared(source.get(t, {}), k), declared(target.get(t, {}), k)) for k in CONSTRAINTS} for t in sorted(set(source) | set(target))}

@@ -303,6 +303,17 @@ def m_parity(spark, sf_dir):
     return spark.createDataFrame([(k, v["data"]) for k, v in found.items()], "table string, data string")
 
 
+@_query("m_constraint_parity", """
+SELECT * FROM (VALUES ('nation', 'foreign_keys', 'MISMATCH'), ('nation', 'identity_column', 'N/A'), ('nation', 'indexes', 'TARGET_ONLY'), ('nation', 'not_null', 'MATCH'),
+('nation', 'primary_keys', 'MATCH'), ('nation', 'unique_constraints', 'SOURCE_ONLY')) t("table", "constraint", status)""")
+def m_constraint_parity(spark, sf_dir):
+    common = {"primary_keys": ["n_nationkey"], "not_null": ["n_nationkey", "n_name"]}
+    source = common | {"unique_constraints": [["n_name"]], "foreign_keys": [["n_regionkey", "region", "r_regionkey"]]}
+    target = common | {"not_null": ["n_name", "n_nationkey"], "foreign_keys": [["n_regionkey", "region", "r_name"]], "indexes": ["by_name"]}
+    found = statistics.constraint_parity({"nation": source}, {"nation": target})
+    return spark.createDataFrame([(t, k, s) for t, kinds in found.items() for k, s in kinds.items()], "table string, constraint string, status string")
+
+
 @_query("m_row_hash", "SELECT n_nationkey, substr(sha256(n_name || ':' || CAST(n_regionkey AS VARCHAR)), 1, 16) AS id FROM nation")
 def m_row_hash(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.substring(F.sha2(F.concat_ws(":", "n_name", "n_regionkey"), 256), 1, 16).alias("id"))

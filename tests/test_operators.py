@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glyphql.engine import Engine
 from glyphql.functions.library import operator
 from glyphql.functions.names import UnsupportedFunction, call, classify, date_pattern
+from glyphql.lang.ast import ColumnDef
 from glyphql.operators import dialects, joins, pipeline, rules, statistics, text
 from glyphql.sources import files
 from glyphql.streaming import ingest
@@ -148,6 +149,21 @@ def test_fingerprints(spark):
     assert (got["t"]["data"], got["u"]["data"], got["w"]["data"]) == ("MISMATCH", "SOURCE_ONLY", "TARGET_ONLY")
 
 
+def test_constraint_parity(spark):
+    e = Engine(spark)
+    e.definitions["t"] = (ColumnDef("id", "int", primary=True), ColumnDef("name", "text", unique=True), ColumnDef("p", "int", required=True))
+    e.foreign_key("t", "p", "parent", "id")
+    have = e.constraints("t")
+    same = statistics.constraint_parity({"t": have}, {"t": have | {"not_null": have["not_null"][::-1]}})["t"]
+    assert same == {"primary_keys": "MATCH", "unique_constraints": "MATCH", "foreign_keys": "MATCH", "not_null": "MATCH", "indexes": "N/A", "identity_column": "N/A"}
+    other = {"primary_keys": ["id", "p"], "foreign_keys": [["p", "parent", "key"]], "not_null": ["id"], "indexes": ["i"], "identity_column": "id"}
+    got = statistics.constraint_parity({"t": have, "u": {}}, {"t": other, "w": other})
+    assert got["t"] == {"primary_keys": "MISMATCH", "unique_constraints": "SOURCE_ONLY", "foreign_keys": "MISMATCH", "not_null": "MISMATCH", "indexes": "TARGET_ONLY", "identity_column": "TARGET_ONLY"}
+    assert set(got["u"].values()) == {"N/A"} and got["w"]["primary_keys"] == "TARGET_ONLY"
+    with pytest.raises(ValueError):
+        statistics.constraint_parity({"t": {"keys": []}}, {})
+
+
 # Text
 
 
