@@ -43,7 +43,17 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(spark: SparkSession, *written: DataFrame | str) -> None:
+    """Removes tables that :func:`materialise` wrote, or paths, once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    for w in written:
+        path = jvm.org.apache.hadoop.fs.Path(w if isinstance(w, str) else w.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
