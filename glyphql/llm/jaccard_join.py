@@ -4,7 +4,9 @@
    the same for all documents gives right results; this one keeps common phrases (by their words' numbers) and shared lines
    (by their own) out of the prefixes.
 2. Documents with equal sets collapse into one class, classes with equal prefixes and sizes into one group.
-3. Group pairs that share a prefix shingle are filtered by size and by the positions of that shingle.
+3. Group pairs that share a prefix shingle are filtered by size and by the positions of that shingle. Of shingles that
+   stand in exactly the same prefixes, as those of a shared passage do, only the first in the order lists its groups: the
+   first shingle that two prefixes share is never one of those left out.
 4. Members are verified on their whole sets. First each group is compared only with one other of every shingle's list, and
    the links found are joined into components; then, of the pairs left, those between different components are all
    expanded and verified. A family of thousands of near copies thus costs a few comparisons for each instead of all its
@@ -37,6 +39,8 @@ from .wordhash import SPACES, U64, shingle_hashes, word_bounds, word_hashes
 #: The counters of the order: two tables of 4 million, of one byte each when sent to the executors.
 COUNTER_BITS = 22
 CHUNK_BITS = 16
+#: Map tasks' counters meet in so many groups for each chunk before they meet in one.
+COUNT_SALTS = 16
 #: Further rounds between neighbours before all remaining pairs are verified; they change the cost, not the result.
 CHEAP_ROUNDS = 1
 #: Ranks from here on are those of shingles that stand out by their own number.
@@ -106,14 +110,28 @@ def _counters(docs: DataFrame, words: int) -> tuple[bytes, bytes]:
         del counts
         release()
 
-    def add(part: pa.Table) -> pa.Table:
-        total = np.zeros(1 << CHUNK_BITS, np.int64)
-        for p in part.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(p), np.uint32)
+    def summed(parts: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray]:
+        """Batch by batch, so that a task holds one chunk's sum however many tasks have counted."""
+        total, chunk = np.zeros(1 << CHUNK_BITS, np.int64), 0
+        for part in parts:
+            chunk = part.column("chunk")[0].as_py()
+            for p in part.column("counts"):
+                total += np.frombuffer(zlib.decompress(p.as_buffer()), np.uint32)
+        return chunk, total
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, total = summed(parts)
+        raw = zlib.compress(np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([raw], pa.binary())], ["chunk", "counts"])
+
+    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, total = summed(parts)
         rank = np.floor(6 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-        return pa.table({"chunk": part.column("chunk")[:1].cast(pa.int32()), "rank": pa.array([zlib.compress(rank.tobytes())], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(rank.tobytes())], pa.binary())], ["chunk", "rank"])
 
-    rows = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, rank binary")
+    counted = docs.select("text").mapInArrow(count, "chunk int, counts binary").withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(COUNT_SALTS)))
+    partly = counted.groupBy("chunk", "_salt").applyInArrow(add, "chunk int, counts binary")
+    rows = partly.groupBy("chunk").applyInArrow(judge, "chunk int, rank binary")
     out = np.zeros(2 * n, np.uint8)
     for r in rows.collect():  # 128 rows of 64 KB at most
         out[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(bytes(r["rank"])), np.uint8)
@@ -207,12 +225,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # The lists of prefix shingles; a row stays only if the next larger or smaller group is of a size that could link.
     by_id = known.select("id", "key", "n", "prefix").join(groups.select(F.col("gid").alias("id"), "key", "n"), ["id", "key", "n"]).dropDuplicates(["id", "key"])
-    tokens = by_id.select(F.col("id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "tok"))
-    inside = members.select(F.col("cls").alias("gid"), "n", F.lit(0).alias("pos"), F.xxhash64(F.lit("group"), "gid").alias("tok"))
+    tokens = by_id.select(F.col("id").alias("gid"), "n", F.xxhash64("id", "key").alias("row"), F.posexplode("prefix").alias("pos", "tok"))
+    inside = members.select(F.col("cls").alias("gid"), "n", F.xxhash64("cls", "n").alias("row"), F.lit(0).alias("pos"), F.xxhash64(F.lit("group"), "gid").alias("tok"))
     by_size = Window.partitionBy("tok").orderBy("n", "gid")
     tokens = tokens.unionAll(inside).select("*", *(f("n").over(by_size).alias(f"{w}_n") for w, f in (("prev", F.lag), ("next", F.lead))))
     could = lambda m: F.least("n", m) * (100 + percent) >= (F.col("n") + F.col(m)) * percent
-    tokens = materialise(tokens.where(could("prev_n") | could("next_n")).select("tok", "gid", "n", "pos"), "tokens")
+    every = materialise(tokens.where(could("prev_n") | could("next_n")).select("tok", "gid", "n", "pos", "row"), "tokens")
+
+    # Shingles with equal lists (by number and two hashes of the rows): in any of the list's rows, the first of them stands first.
+    of_list = every.groupBy("tok").agg(
+        F.count(F.lit(1)).alias("k"), F.bit_xor("row").alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"), F.min(F.struct("row", "pos")).alias("at")
+    )
+    stays = of_list.groupBy("k", "x", "y", "at.row").agg(F.min_by("tok", F.struct("at.pos", "tok")).alias("tok")).select("tok")
+    tokens = materialise(every.join(stays, "tok", "left_semi").drop("row"), "tokens")
 
     def fits(n1, p1, n2, p2) -> F.Column:
         bound = F.least(F.least(n1 - p1, n2 - p2), F.least(n1, n2))
