@@ -94,6 +94,64 @@ def test_suffix_dedup_equals_brute_force(docs, spark):
     assert suffix_dedup.removed(docs.limit(0)).count() == 0
 
 
+def shared_line_texts(n=40):
+    rng = random.Random(9)
+    noise = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    line = "This very common line stands in every document, with other surroundings in each one of them."
+    return [(i, noise(rng.randint(0, 90)) + line + noise(rng.randint(0, 90)) + (line[:70] if i % 3 == 0 else "")) for i in range(n)]
+
+
+@pytest.mark.parametrize("setting", ["hot", "files", "parts"])
+def test_suffix_dedup_of_hot_anchors_small_files_and_parts(spark, monkeypatch, setting):
+    """Splitting anchors by windows, several files of a task, and texts in parts change nothing."""
+    rows = shared_line_texts()
+    if setting == "hot":
+        hot = suffix_dedup._shared_hashes
+
+        def marked(runs):  # the limit travels to the workers with the function
+            from pyspark.sql.functions import lit
+
+            return hot(runs).withColumn("hot", lit(b"\xff" * 4096))
+
+        monkeypatch.setattr(suffix_dedup, "_shared_hashes", marked)
+    if setting == "parts":
+        monkeypatch.setattr(suffix_dedup, "_parts", lambda offsets, length: parts_of(offsets, length))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    if setting == "files":
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        got = sorted(map(tuple, suffix_dedup.removed(df).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert got == brute_suffix([(i, t.encode()) for i, t in rows]) and sum(r[2] for r in got) > 39 * 90
+
+
+def parts_of(offsets, length):
+    """Every text for itself, in parts of 64 bytes that overlap by a window less one byte."""
+    import numpy as np
+
+    for i in range(len(offsets) - 1):
+        a, b = int(offsets[i]), int(offsets[i + 1])
+        for at in range(a, max(a + 1, b - length + 1), 64):
+            yield np.array([at, min(b, at + 64 + length - 1)]), np.array([i]), np.array([at - a])
+
+
+def test_suffix_dedup_returns_spans_and_all_columns(spark):
+    rows = [(i, t, i, "x", None) for i, t in shared_line_texts(12)] + [(50, None, 1, "y", None), (None, "z" * 60, 2, "z", 1), (33, "z" * 60, 3, "z", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, file long, rest string, row int")
+    got = suffix_dedup.clean(df).collect()
+    assert suffix_dedup.clean(df).columns == [*df.columns, "spans"] and len(got) == len(rows)
+    with pytest.raises(ValueError, match="spans"):
+        suffix_dedup.clean(df.withColumnRenamed("row", "spans"))
+    key = lambda i: 2**62 if i is None else i
+    want = {(i, n, digest) for i, _, n, _, digest in brute_suffix([(key(i), (t or "").encode()) for i, t, *_ in rows])}
+    for r in got:
+        raw = next(t for i, t, f, *_ in rows if (i, f) == (r.doc_id, r.file))
+        kept = suffix_dedup.cut_out((raw or "").encode(), [tuple(x) for x in r.spans])
+        assert (key(r.doc_id), sum(x.end - x.start for x in r.spans), hashlib.sha256(kept).hexdigest()) in want
+        assert r.text is None if raw is None else kept == bytes(r.text)
+
+
 def test_suffix_dedup_of_parts_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART_BYTES", 1 << 10)
     offsets = suffix_dedup.np.array([0, 3000])
