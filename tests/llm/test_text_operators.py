@@ -206,6 +206,40 @@ def test_secrets_equal_brute_force_and_models_add_spans(spark):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
+ORDINARY = [
+    "-" * 32, "=" * 25, "_" * 40, "/" * 16, "2023-01-05T10-00-00-report-final", "src/main/java/com/example/App", "usr/local/lib/python3/site-packages", "internationalization", "my_long_variable_name_2",
+    "getElementByIdentifier", "SOME_CONSTANT_VALUE", "20230105123456", "+49-30-1234567", "a-b-c-d-e-f-g-h", "version-1-2-3-beta", "HelloWorldExample123", "image-2023-final-v2", "Donaudampfschifffahrt", "aaaaaaaaaaaaaaaa",
+]
+
+
+def test_secret_models_equal_brute_force_and_tell_random_from_ordinary(spark):
+    rng, place = random.Random(7), {c: k + 1 for k, c in enumerate(secrets.ALPHABET)}
+    df = spark.createDataFrame([(1, "some ordinary words of a text"), (2, None)], "doc_id long, text string")
+    ratios = secrets.train(df)
+    ratio = lambda t: sum(ratios[place.get(a, 0) * (len(place) + 1) + place.get(b, 0)] for a, b in zip(t, t[1:]))
+    alphabets = [secrets.ALPHABET[:26], secrets.ALPHABET[:62], secrets.ALPHABET[:64], secrets.ALPHABET[26:62], "0123456789abcdef"]
+    keys = [["".join(rng.choice(a) for _ in range(n)) for _ in range(60)] for a in alphabets for n in (12, 13, 16, 24)]
+    tokens = [*ORDINARY, *(k for some in keys for k in some), "=" * 11, "X" * 5000]
+    got = by_id(secrets.scan(spark.createDataFrame(list(enumerate(f"é {t} ." for t in tokens)), "doc_id long, text string"), ratios))
+    for i, t in enumerate(tokens):
+        base = re.search("[0-9a-f]{16}|AKIA[A-Z0-9]{14}", t)
+        want = len(t) >= 12 and not base and ratio(t) >= secrets.LEAST_RATIO
+        assert abs(ratio(t) - secrets.LEAST_RATIO) < 1e-6 or ("markov" in got[i].spans) == want, t
+    assert not any("markov" in got[i].spans for i in range(len(ORDINARY)))
+    at = len(ORDINARY)
+    for some in keys:  # recall of every alphabet and length
+        assert sum(got[k].spans != "" for k in range(at, at + 60)) >= 54, some[:3]
+        at += 60
+
+
+def test_secrets_of_long_texts_repeated_rows_and_clashing_columns(spark):
+    many = "".join(f"deadbeefdeadbee{k % 10} token={'k' * 12}{k} " for k in range(1500))
+    df = spark.createDataFrame([(1, many, "a", "b"), (1, many, "a", "b"), (2, None, "x", "y")], "doc_id long, text string, _base0 string, spans string")
+    got = secrets.scan(df, secrets.train(df)).collect()
+    assert len(got) == 3 and sum((r.n_assign, r.n_access, r.n_hex, r.base_sha256) == brute_secrets(many) for r in got) == 2
+    assert secrets.redact(df.where("doc_id = 2"), [0.0] * (len(secrets.ALPHABET) + 1) ** 2).columns == df.columns
+
+
 # Jaccard join
 
 
