@@ -1,7 +1,8 @@
 """Writable tables: Parquet directories that are rewritten beside the old one and swapped by a pointer file.
 
-A write makes a new version directory and then names it in ``_current``; readers open the version that is named, so they
-never see half a write. There are no row locks and no isolation between writers: one writer per table.
+A write makes a new version directory and then names it in a pointer file of the next number; readers open the version
+that the highest pointer names, so they never see half a write, and a crash at any point leaves the table as it was before
+or after the write. ``vacuum`` removes what is named no more. There are no row locks and no isolation: one writer per table.
 """
 
 from __future__ import annotations
@@ -37,14 +38,21 @@ class ManagedTable:
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> str | None:
+    def _pointers(self) -> list[int]:
         fs, path = self._fs()
-        pointer = path(f"{self.path}/_current")
-        if not fs.exists(pointer):
+        if not fs.exists(path(self.path)):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(path(self.path))]
+        return sorted(int(n.removeprefix("_pointer-")) for n in names if n.startswith("_pointer-"))
+
+    def version(self) -> str | None:
+        numbers = self._pointers()
+        if not numbers:
             return None
-        stream = fs.open(pointer)
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/_pointer-{numbers[-1]:012d}"))
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode() or None
         finally:
             stream.close()
 
@@ -60,18 +68,26 @@ class ManagedTable:
         self.point(version)
 
     def point(self, version: str | None) -> None:
-        """Names the current version; the rename is atomic on file systems that rename atomically."""
+        """Names the current version, or none, by a new pointer that appears whole; older ones go only after that."""
         fs, path = self._fs()
-        pointer, fresh = path(f"{self.path}/_current"), path(f"{self.path}/_next-{uuid.uuid4().hex}")
-        if version is None:
-            fs.delete(pointer, False)
-            return
+        numbers = self._pointers()
+        fresh = path(f"{self.path}/_next-{uuid.uuid4().hex}")
         out = fs.create(fresh, True)
-        out.write(version.encode())
+        out.write((version or "").encode())
         out.close()
-        fs.delete(pointer, False)
-        if not fs.rename(fresh, pointer):
+        if not fs.rename(fresh, path(f"{self.path}/_pointer-{numbers[-1] + 1 if numbers else 1:012d}")):
             raise OSError(f"cannot name version {version} of {self.name}")
+        for n in numbers:
+            fs.delete(path(f"{self.path}/_pointer-{n:012d}"), False)
+
+    def vacuum(self) -> int:
+        """Removes all versions but the current one, and returns how many. Nothing may still read them."""
+        fs, path = self._fs()
+        now = self.version()
+        old = [x.getPath() for x in fs.listStatus(path(self.path)) if x.getPath().getName().startswith("v-") and x.getPath().getName() != now]
+        for x in old:
+            fs.delete(x, True)
+        return len(old)
 
     def drop(self) -> None:
         fs, path = self._fs()
@@ -82,14 +98,16 @@ def schema_of(columns: Sequence[ColumnDef]) -> StructType:
     return _parse_datatype_string(", ".join(f"`{c.name}` {spark_type(c.type)}" for c in columns))
 
 
-def inserted(current: DataFrame, columns: Sequence[str], rows: Sequence[Sequence[object]]) -> DataFrame:
+def inserted(current: DataFrame, columns: Sequence[str], rows: Sequence[Sequence[object]], definitions: Sequence[ColumnDef] = ()) -> DataFrame:
+    """Columns that are not named get their declared default, or NULL."""
     names = list(columns) or current.columns
     missing = [n for n in names if n not in current.columns]
     if missing or len(rows[0]) != len(names):
         raise ValueError(f"values do not match the columns {current.columns}: {missing or rows[0]}")
     texts = [tuple(None if v is None else str(v) for v in r) for r in rows]
     new = current.sparkSession.createDataFrame(texts, ", ".join(f"`{n}` string" for n in names))
-    cast = [F.col(f"`{f.name}`").cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in current.schema]
+    default = {d.name: F.expr(d.default) for d in definitions if d.default is not None}
+    cast = [(F.col(f"`{f.name}`") if f.name in names else default.get(f.name, F.lit(None))).cast(f.dataType) for f in current.schema]
     return current.unionByName(new.select(*(c.alias(f.name) for c, f in zip(cast, current.schema, strict=True))))
 
 

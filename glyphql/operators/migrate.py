@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .dialects import from_neutral, loss, to_neutral
@@ -47,9 +47,10 @@ def ddl(t: TableDef, source: str, target: str) -> str:
 
 class Migration:
     """Copies tables in order of their references. What is done is noted in ``state_path`` after each table, so a run that
-    broke off goes on with the table it was at."""
+    broke off goes on with the table it was at. ``write`` returns the number of rows it wrote, as :func:`write_counted`
+    does; if it returns None, the source is counted once more."""
 
-    def __init__(self, spark: SparkSession, read: Callable[[str], DataFrame], write: Callable[[str, DataFrame], None], state_path: str):
+    def __init__(self, spark: SparkSession, read: Callable[[str], DataFrame], write: Callable[[str, DataFrame], int | None], state_path: str):
         self.spark, self.read, self.write, self.state_path = spark, read, write, state_path
 
     def _state(self) -> dict[str, int]:
@@ -77,12 +78,19 @@ class Migration:
         for name in creation_order({t.name: set(t.references) - {t.name} for t in tables}):
             if name not in state:
                 df = self.read(name)
-                self.write(name, df)
-                state[name] = df.count()
+                written = self.write(name, df)
+                state[name] = df.count() if written is None else written
                 self._note(state)
         return state
 
 
+def write_counted(df: DataFrame, path: str) -> int:
+    """Writes Parquet in place of what a broken run may have left, and counts the rows as they are written."""
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return rows.get["n"]
+
+
 # Lookups by key over files that are laid out for them
 
 

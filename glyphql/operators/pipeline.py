@@ -160,6 +160,17 @@ def run(p: Pipeline, tables: dict[str, DataFrame], parameters: dict | None = Non
 # Views
 
 
+def write(p: Pipeline, out: DataFrame) -> None:
+    """Writes a pipeline's result to its ``output_file``, in the format of its suffix (Parquet without one)."""
+    from ..sources.files import SUFFIXES
+    from ..sources.files import write as write_file
+
+    if not p.output_file:
+        raise PipelineProblem(f"{p.name} names no output file")
+    kind = next((k for suffix, k in SUFFIXES.items() if p.output_file.lower().endswith(suffix)), "parquet")
+    write_file(out, p.output_file, kind)
+
+
 @dataclass(frozen=True)
 class View:
     name: str

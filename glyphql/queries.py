@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from .engine import Engine
 from .functions.library import operator
-from .operators import dialects, guard, joins, migrate, pipeline, rules, statistics, text
+from .operators import dialects, guard, joins, managed, migrate, pipeline, rules, statistics, text
 from .sources import files
 from .streaming import ingest
 
@@ -62,7 +63,7 @@ _symbolic("v_last", "*LAST[orders]::o_orderkey~{o_orderkey}", "SELECT max(o_orde
 _symbolic("v_all", "*ALL[region]::*", "SELECT * FROM region")
 _symbolic("v_count", "*COUNT[orders]::*+{o_orderstatus='F'}>>oQ", 'SELECT CAST(count(*) AS BIGINT) AS "count" FROM orders WHERE o_orderstatus = \'F\'')
 _symbolic("v_sum", "*SUM[events]::event_id AS total", "SELECT CAST(sum(event_id) AS BIGINT) AS total FROM events")
-_symbolic("v_avg", "*3[orders]::ROUND(AVG(o_totalprice),4) AS mean", "SELECT round(avg(o_totalprice), 4) AS mean FROM orders")
+_symbolic("v_avg", "*AVG[part]::p_size AS mean", "SELECT avg(p_size) AS mean FROM part")
 _symbolic("v_min", "*MIN[orders]::o_totalprice AS low", "SELECT min(o_totalprice) AS low FROM orders")
 _symbolic("v_max", "*MAX[orders]::o_totalprice AS high", "SELECT max(o_totalprice) AS high FROM orders")
 _symbolic("v_distinct", "*DISTINCT[documents]::lang,source", "SELECT DISTINCT lang, source FROM documents")
@@ -76,7 +77,7 @@ _symbolic("v_contains", "*[part]::p_partkey|p_name CONTAINS('widget') OR p_name
 _symbolic("v_in", "*3[orders]::o_orderkey+{o_orderstatus@['F','P']+o_orderpriority@['1-URGENT']}", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority IN ('1-URGENT')")
 _symbolic("v_between", "*3[orders]::o_orderkey+{o_totalprice<>1000<>50000}", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000")
 _symbolic("v_date_filter", "*3[orders]::o_orderkey+{o_orderdate>'1998-01-01'}", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01'")
-_symbolic("v_is_null", "=L[customer+orders]::c_custkey,o_orderkey+{o_orderkey IS NULL}", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+_symbolic("v_is_null", "&f=*[orders]::o_custkey,o_orderkey+{o_totalprice>400000};=L[customer+&f f]::c_custkey+{f.o_orderkey IS NULL}", "SELECT c_custkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
 _symbolic("v_recent", "*[events]::event_id|ts RECENT(7d) AND NOT ts OLDER_THAN(5d)", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-13' AND NOT ts < TIMESTAMP '2024-01-15'")
 _symbolic("v_between_dates", "*[events]::event_id|ts BETWEEN_DATES('2024-01-02','2024-01-03')", "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-03'")
 _symbolic("v_parameter", "*[customer]::c_custkey|c_mktsegment = @segment AND c_acctbal < @most", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal < 500", segment="MACHINERY", most=500)
@@ -264,27 +265,6 @@ def p_rules(spark, sf_dir):
 # Writes, as the rows after them
 
 
-@_query("d_update", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
-def d_update(spark, sf_dir):
-    from .operators.managed import updated
-
-    return updated(table(spark, sf_dir, "customer"), {"c_acctbal": "0.0"}, "c_acctbal < 0").select("c_custkey", "c_acctbal")
-
-
-@_query("d_delete", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice < 100000)")
-def d_delete(spark, sf_dir):
-    from .operators.managed import deleted
-
-    return deleted(table(spark, sf_dir, "orders"), "o_orderstatus = 'F' AND o_totalprice < 100000").select("o_orderkey")
-
-
-@_query("d_insert", "SELECT * FROM region UNION ALL SELECT 99, 'ATLANTIS'")
-def d_insert(spark, sf_dir):
-    from .operators.managed import inserted
-
-    return inserted(table(spark, sf_dir, "region"), (), [(99, "ATLANTIS")])
-
-
 # Statistics, parity, types, guards
 
 
@@ -324,19 +304,13 @@ def m_types(spark, sf_dir):
     return spark.createDataFrame([(s, dialects.from_neutral("spark", dialects.to_neutral("postgres", s))) for s in ("varchar(20)", "numeric(10,2)", "timestamptz", "jsonb")], "source string, spark string")
 
 
-@_query("g_redact", r"""SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED]', 'g') AS text FROM documents""")
-def g_redact(spark, sf_dir):
-    pattern = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
-    return guard.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), pattern)
-
-
 # Text
 
 
 @_query("t_bm25", """
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 l AS (SELECT doc_id, len(w) AS n FROM w), c AS (SELECT count(*) AS docs, avg(n) AS mean FROM l),
-p AS (SELECT doc_id, t, count(*) AS f FROM (SELECT doc_id, unnest(w) AS t FROM w) WHERE t IN ('nation', 'heon', 'ofre') OR t IN ('license', 'work') GROUP BY 1, 2),
+p AS (SELECT doc_id, t, count(*) AS f FROM (SELECT doc_id, unnest(w) AS t FROM w) WHERE t IN ('license', 'work') GROUP BY 1, 2),
 q AS (SELECT * FROM p WHERE t IN ('license', 'work')),
 d AS (SELECT t, count(*) AS df FROM q GROUP BY 1)
 SELECT doc_id AS id, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
@@ -384,11 +358,6 @@ def t_hybrid(spark, sf_dir):
     return text.hybrid(index, "the of", e, "vec_id", "embedding", vector, F.col("lang") == "en")
 
 
-@_query("t_grounding", "SELECT CAST(count(*) AS BIGINT) AS n, CASE WHEN count(*) >= 3 THEN 'GROUNDED' WHEN count(*) >= 1 THEN 'PARTIAL' ELSE 'UNGROUNDED' END AS status FROM nation WHERE n_regionkey = 1")
-def t_grounding(spark, sf_dir):
-    return text.grounding(table(spark, sf_dir, "nation").where("n_regionkey = 1"))
-
-
 # Events: windows as an extension
 
 
@@ -408,16 +377,6 @@ def r_window_sessions(spark, sf_dir):
 # Lookups, migration, streams of documents
 
 
-@_query("i_point", "SELECT * FROM orders WHERE o_orderkey = 77")
-def i_point(spark, sf_dir):
-    return migrate.point(table(spark, sf_dir, "orders"), "o_orderkey", 77)
-
-
-@_query("i_range", "SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
-def i_range(spark, sf_dir):
-    return migrate.between(table(spark, sf_dir, "orders"), "o_orderkey", 100, 900)
-
-
 @_query("i_repeated", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
 def i_repeated(spark, sf_dir):
     return migrate.repeated_keys(table(spark, sf_dir, "orders"), "o_custkey")
@@ -446,6 +405,310 @@ def t_changed_documents(spark, sf_dir):
     return text.changed_documents(known, docs, "doc_id", "text").select("doc_id")
 
 
-@_query("r_window_sliding", "SELECT CAST(count(*) * 2 AS BIGINT) AS n FROM events")
+@_query("r_window_sliding", """
+SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR AS window_start FROM events, (VALUES (0), (1)) t(k)) GROUP BY 1""")
 def r_window_sliding(spark, sf_dir):
-    return ingest.sliding(table(spark, sf_dir, "events"), "ts", "2 hours", "1 hour").agg(F.sum("n").alias("n"))
+    return ingest.sliding(table(spark, sf_dir, "events"), "ts", "2 hours", "1 hour")
+
+
+# Writes through the language, on a managed copy
+
+
+def _writable(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
+    e = Engine(spark, root=scratch.fresh(spark, "managed"), now=NOW)
+    for name in names:
+        store = managed.ManagedTable(spark, e.root, name)
+        store.write(table(spark, sf_dir, name))
+        e.register(name, store.read())
+    return e
+
+
+@_query("d_insert", "SELECT * FROM region UNION ALL SELECT 99, 'ATLANTIS' UNION ALL SELECT 98, 'LEMURIA'")
+def d_insert(spark, sf_dir):
+    e = _writable(spark, sf_dir, "region")
+    e.execute("+V[region]::99,ATLANTIS>>oQ;+V[region(r_name,r_regionkey)]::LEMURIA,98>>oQ")
+    return e.query("*[region]")
+
+
+@_query("d_update", "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def d_update(spark, sf_dir):
+    e = _writable(spark, sf_dir, "customer")
+    e.execute("*4[customer]::c_acctbal=0.0,c_mktsegment='DEBT'+{c_acctbal<0}>>oQ")
+    return e.query("*[customer]")
+
+
+@_query("d_delete", "SELECT * FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice < 100000)")
+def d_delete(spark, sf_dir):
+    e = _writable(spark, sf_dir, "orders")
+    e.execute("-D[orders]+{o_orderstatus='F'+o_totalprice<100000}>>oQ")
+    return e.query("*[orders]")
+
+
+@_query("d_transaction", "SELECT s_suppkey, CASE WHEN s_acctbal < -500 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def d_transaction(spark, sf_dir):
+    e = _writable(spark, sf_dir, "supplier")
+    e.execute("$1;-D[supplier]+{s_acctbal<0};$3;$1;*4[supplier]::s_acctbal=0.0+{s_acctbal<-500};$2")
+    return e.query("*[supplier]::s_suppkey,s_acctbal")
+
+
+@_query("d_create_defaults", "SELECT r_name, stars, note FROM region JOIN (VALUES (1, 3, 'none'), (2, 3, 'none'), (3, 5, 'seen')) v(id, stars, note) ON r_regionkey = id")
+def d_create_defaults(spark, sf_dir):
+    e = _writable(spark, sf_dir, "region")
+    e.execute("@A[ratings]::id INT !1,label VARCHAR(20) !4,stars INT !5(stars < 6) !6(3),note TEXT !6('none');+V[ratings(id,label)]::1,a;2,b;+V[ratings]::3,c,5,seen")
+    return e.query("=J[region r+ratings q]::r.r_name,q.stars,q.note ON{r.r_regionkey=q.id}")
+
+
+@_query("d_facade", "SELECT p_partkey, p_size + 1 AS p_size FROM part WHERE p_size < 40 UNION ALL SELECT 0, 2")
+def d_facade(spark, sf_dir):
+    e = _writable(spark, sf_dir, "part")
+    e.delete("part", "p_size >= 40")
+    e.insert("part", {"p_partkey": 0, "p_size": 1})
+    return e.update("part", {"p_size": "p_size + 1"}, "p_size >= 0").select("p_partkey", "p_size")
+
+
+@_query("d_drop", "SELECT r_name FROM region")
+def d_drop(spark, sf_dir):
+    e = _writable(spark, sf_dir, "region", "nation")
+    e.execute("@3[nation]::>>oQ")
+    assert not e.catalog.has("nation")
+    return e.query("*[region]::r_name")
+
+
+# Scripts, batches, modifiers
+
+
+@_query("v_script", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 100")
+def v_script(spark, sf_dir):
+    script = "-- customers of a segment\n# by name\n*COUNT[customer];\n*[customer]::c_custkey|c_mktsegment='${SEGMENT}' AND c_acctbal > $LEAST"
+    return engine(spark, sf_dir).script(script, {"SEGMENT": "BUILDING", "LEAST": "100"})[-1].df
+
+
+@_query("v_batch", "SELECT n_name FROM nation UNION ALL SELECT r_name FROM region")
+def v_batch(spark, sf_dir):
+    first, failed, last = engine(spark, sf_dir).batch(["*[nation]::n_name", "*[nowhere]::n_name", "*[region]::r_name"])
+    assert isinstance(failed, Exception)
+    return first[-1].df.unionAll(last[-1].df)
+
+
+@_query("v_validate", "SELECT CAST(column_index AS INTEGER) AS position, column_name AS name FROM duckdb_columns() WHERE false UNION ALL SELECT 0, 'o_orderkey' UNION ALL SELECT 1, 'total'")
+def v_validate(spark, sf_dir):
+    return engine(spark, sf_dir).query("*3[orders]::o_orderkey,SUM(o_totalprice) AS total^{o_orderkey}>>VALIDATE").select("position", "name")
+
+
+_symbolic("v_group_concat", "*3[nation]::n_regionkey,LENGTH(GROUP_CONCAT(n_name,';')) AS n^{n_regionkey}", "SELECT n_regionkey, CAST(length(string_agg(n_name, ';')) AS INTEGER) AS n FROM nation GROUP BY 1")
+_symbolic("s_format", "*3[orders]::o_orderkey,FORMAT(o_totalprice,1) AS shown", "SELECT o_orderkey, format('{:,.1f}', o_totalprice) AS shown FROM orders")
+
+
+# Operators of the library
+
+
+@_query("p_operators", """
+SELECT p_partkey, p_size = 10 AS eq, p_size <> 10 AS ne, p_size > 30 AS gt, p_brand <= 'Brand#3' AS le, p_size > 10 AND p_size < 20 AS both, p_size < 5 OR p_size > 45 AS either, NOT p_size > 25 AS negated,
+CAST(CAST(p_size + 1 AS DOUBLE) AS VARCHAR) AS plus, p_brand || 'x' AS joined, CAST(p_size - 3 AS DOUBLE) AS minus, CAST(p_size * 2 AS DOUBLE) AS times, p_size / nullif(p_size - 10, 0) AS divided, p_size BETWEEN 5 AND 9 AS between_, p_name ILIKE '%RING%' AS like_ FROM part""")
+def p_operators(spark, sf_dir):
+    size, brand = F.col("p_size"), F.col("p_brand")
+    o = operator
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", o("==", size, 10).alias("eq"), o("!=", size, 10).alias("ne"), o(">", size, "30").alias("gt"), o("<=", brand, "Brand#3").alias("le"), o("&", size > 10, size < 20).alias("both"),
+        o("||", size < 5, size > 45).alias("either"), o("!", size > 25).alias("negated"), o("+", size, 1).alias("plus"), o("+", brand, "x").alias("joined"), o("-", size, 3).alias("minus"), o("*", size, 2).alias("times"),
+        o("/", size, size - 10).alias("divided"), o("BETWEEN", size, 5, 9).alias("between_"), o("LIKE", F.col("p_name"), "%RING%").alias("like_"),
+    )
+
+
+def _sqlite(name: str, *args: str):
+    from .functions.names import call
+
+    return F.expr(call(name, list(args), dialect="sqlite"))
+
+
+@_query("s_sqlite_dates", """
+SELECT o_orderkey, CAST(o_orderdate + INTERVAL 7 DAY AS DATE) AS week_on, strftime(o_orderdate, '%Y-%m') AS month, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS first_day, CAST(epoch(o_orderdate) AS BIGINT) AS seconds, round(epoch(o_orderdate) / 86400 + 2440587.5, 4) AS julian_day
+FROM orders""")
+def s_sqlite_dates(spark, sf_dir):
+    d = "o_orderdate"
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", _sqlite("date", d, "'+7 days'").alias("week_on"), _sqlite("strftime", "'%Y-%m'", d).alias("month"), _sqlite("datetime", d, "'start of month'").alias("first_day"),
+        _sqlite("unixepoch", d).alias("seconds"), F.round(_sqlite("julianday", d), 4).alias("julian_day"),
+    )
+
+
+@_query("s_sqlite_json", "SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, true AS valid, '[' || n_nationkey || ',' || n_regionkey || ']' AS listed FROM nation")
+def s_sqlite_json(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    rows = n.withColumn("payload", F.to_json(F.struct("n_name", "n_regionkey")))
+    return rows.select(
+        _sqlite("json_extract", "payload", "'$.n_name'").alias("name"), _sqlite("json_extract", "payload", "'$.n_regionkey'").alias("region"), _sqlite("json_valid", "payload").alias("valid"),
+        _sqlite("json_array", "n_nationkey", "n_regionkey").alias("listed"),
+    )
+
+
+@_query("s_sqlite_aggregates", "SELECT n_regionkey, CAST(sum(n_nationkey) AS DOUBLE) AS total, max(n_name) AS last, CAST(length(string_agg(n_name, ',')) AS INTEGER) AS joined FROM nation GROUP BY 1")
+def s_sqlite_aggregates(spark, sf_dir):
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(_sqlite("total", "n_nationkey").alias("total"), _sqlite("max", "n_name").alias("last"), F.length(_sqlite("group_concat", "n_name")).alias("joined"))
+
+
+# Sources and sinks: a table written in a format and read back
+
+
+def _back(spark: SparkSession, df: DataFrame, kind: str, **options: object) -> DataFrame:
+    path = scratch.fresh(spark, kind)
+    files.write(df, path, kind, **options)
+    return files.read(spark, path, kind, schema=", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), **options)
+
+
+for _kind, _options in {"csv": {}, "tsv": {}, "json": {}, "jsonl": {"compression": "gzip"}, "orc": {}, "parquet": {"compression": "zstd"}, "xml": {"rowTag": "supplier", "rootTag": "suppliers"}}.items():
+    QUERIES[f"x_{_kind}"] = lambda spark, sf_dir, k=_kind, o=_options: _back(spark, table(spark, sf_dir, "supplier"), "jsonl" if k == "json" else k, **o)
+    ORACLES[f"x_{_kind}"] = "SELECT * FROM supplier"
+
+
+@_query("x_csv_inferred", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def x_csv_inferred(spark, sf_dir):
+    path = scratch.fresh(spark, "inferred")
+    files.write(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), path, "csv")
+    out = files.read(spark, path, "csv")
+    assert [t for _, t in out.dtypes] == ["int", "string", "int", "double"]
+    return out.withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
+@_query("x_folder", "SELECT r_name, CAST(count(*) AS BIGINT) AS nations FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
+def x_folder(spark, sf_dir):
+    path = scratch.fresh(spark, "folder")
+    files.write(table(spark, sf_dir, "region"), f"{path}/region.csv", "csv")
+    files.write(table(spark, sf_dir, "nation"), f"{path}/nation.jsonl", "jsonl")
+    e = Engine(spark)
+    for name, df in files.folder_tables(spark, path).items():
+        e.register(name, df)
+    return e.query("=J[region r+nation n]::r.r_name,COUNT(*) AS nations ON{r.r_regionkey=n.n_regionkey}^{r_name}")
+
+
+@_query("x_pipeline_sink", "SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS customers FROM customer GROUP BY 1")
+def x_pipeline_sink(spark, sf_dir):
+    path = scratch.fresh(spark, "sink")
+    p = pipeline.Pipeline("segments", ("customer",), ({"type": "AGGREGATE", "group_by": ["c_mktsegment"], "aggregations": [{"column": "c_custkey", "function": "count", "alias": "customers"}]},), output_file=f"{path}/out.csv")
+    pipeline.write(p, pipeline.run(p, {"customer": table(spark, sf_dir, "customer")}))
+    return files.read(spark, p.output_file, schema="c_mktsegment string, customers long")
+
+
+@_query("x_chunks", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(s_suppkey) AS BIGINT) AS total FROM supplier")
+def x_chunks(spark, sf_dir):
+    seen = [(len(c), sum(r["s_suppkey"] for r in c)) for c in engine(spark, sf_dir).execute("*[supplier]::s_suppkey")[0].chunks(64)]
+    return spark.createDataFrame([(sum(n for n, _ in seen), sum(t for _, t in seen))], "n long, total long")
+
+
+# Migration, fingerprints, triggers
+
+
+@_query("m_migrate", "SELECT 'nation' AS name, CAST(count(*) AS BIGINT) AS n FROM nation UNION ALL SELECT 'region', CAST(count(*) AS BIGINT) FROM region")
+def m_migrate(spark, sf_dir):
+    path = scratch.fresh(spark, "migration")
+    T = migrate.TableDef
+    tables = [T("nation", (("n_nationkey", "integer"),), ("region",)), T("region", (("r_regionkey", "integer"),))]
+    run = migrate.Migration(spark, lambda t: table(spark, sf_dir, t), lambda t, df: migrate.write_counted(df, f"{path}/{t}"), f"{path}/state.json")
+    run.run(tables[1:])
+    run.run(tables)  # goes on behind what is done
+    return spark.read.parquet(f"{path}/nation").selectExpr("'nation' AS name").unionAll(spark.read.parquet(f"{path}/region").selectExpr("'region'")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("m_fingerprint", "SELECT 'other order' AS copy, true AS same, CAST(count(*) AS BIGINT) AS n FROM customer UNION ALL SELECT 'a row less', false, CAST(count(*) - 1 AS BIGINT) FROM customer UNION ALL SELECT 'a value changed', false, CAST(count(*) AS BIGINT) FROM customer")
+def m_fingerprint(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    copies = {"other order": c.repartition(7), "a row less": c.where("c_custkey <> 1"), "a value changed": c.withColumn("c_acctbal", F.when(F.col("c_custkey") == 1, 0.125).otherwise(F.col("c_acctbal")))}
+    own = statistics.exact_fingerprint(c)
+    return spark.createDataFrame([(k, statistics.exact_fingerprint(df) == own, df.count()) for k, df in copies.items()], "copy string, same boolean, n long")
+
+
+@_query("p_triggers", "SELECT 'solvent' AS trigger, count_if(c_acctbal < 0) = 0 AS passed, CAST(count(*) AS VARCHAR) AS text FROM customer UNION ALL SELECT 'noted', true, 'customer: ' || count(*) FROM customer")
+def p_triggers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    triggers = rules.Triggers([
+        rules.Trigger("solvent", "on_ingest", "validate", "customer", (rules.Rule("c_acctbal", "MIN_VALUE", 0),)), rules.Trigger("noted", "on_ingest", "audit_log", template="{table}: {row_count}"),
+        rules.Trigger("elsewhere", "on_ingest", "audit_log", "orders", template="never"),
+    ])
+    n = c.count()
+    found = triggers.replay([(rules.Event("e1", "on_ingest", "customer", {"row_count": n}), c)])["results"]
+    return spark.createDataFrame([(r["trigger"], r["passed"], r.get("text", str(n))) for r in found], "trigger string, passed boolean, text string")
+
+
+@_query("p_rules_more", """
+SELECT 'p_size' AS "column", 'POSITIVE_INTEGER' AS rule, CAST(count_if(NOT (p_size > 0)) AS BIGINT) AS broken, count_if(NOT (p_size > 0)) = 0 AS passed FROM part
+UNION ALL SELECT 'p_retailprice', 'POSITIVE_NUMBER', CAST(count_if(NOT (p_retailprice > 0)) AS BIGINT), count_if(NOT (p_retailprice > 0)) = 0 FROM part
+UNION ALL SELECT 'p_name', 'CONTAINS', CAST(count_if(NOT contains(p_name, 'ring')) AS BIGINT), count_if(NOT contains(p_name, 'ring')) = 0 FROM part
+UNION ALL SELECT 'p_brand', 'MIN_LENGTH', CAST(count_if(length(p_brand) < 8) AS BIGINT), count_if(length(p_brand) < 8) = 0 FROM part
+UNION ALL SELECT 'p_size', 'MAX_VALUE', CAST(count_if(p_size > 45) AS BIGINT), count_if(p_size > 45) = 0 FROM part""")
+def p_rules_more(spark, sf_dir):
+    R = rules.Rule
+    return rules.evaluate(table(spark, sf_dir, "part"), [R("p_size", "POSITIVE_INTEGER"), R("p_retailprice", "POSITIVE_NUMBER"), R("p_name", "CONTAINS", "ring"), R("p_brand", "MIN_LENGTH", 8), R("p_size", "MAX_VALUE", 45)])
+
+
+# Lookups over the layout that is written for them
+
+
+@_query("i_point", "SELECT * FROM orders WHERE o_orderkey = 77")
+def i_point(spark, sf_dir):
+    path = scratch.fresh(spark, "indexed")
+    migrate.write_indexed(table(spark, sf_dir, "orders"), path, "o_orderkey", files=8)
+    return migrate.point(spark.read.parquet(path), "o_orderkey", 77)
+
+
+@_query("i_range", "SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
+def i_range(spark, sf_dir):
+    path = scratch.fresh(spark, "indexed")
+    migrate.write_indexed(table(spark, sf_dir, "orders"), path, "o_orderkey", files=8)
+    return migrate.between(spark.read.parquet(path), "o_orderkey", 100, 900)
+
+
+# Retrieval and streams
+
+
+@_query("t_grounding", r"""
+WITH h AS (SELECT doc_id FROM (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS w FROM documents) WHERE list_contains(w, 'license') AND list_contains(w, 'work') LIMIT 10)
+SELECT CAST(count(*) AS BIGINT) AS n, CASE WHEN count(*) >= 3 THEN 'GROUNDED' WHEN count(*) >= 1 THEN 'PARTIAL' ELSE 'UNGROUNDED' END AS status FROM h""")
+def t_grounding(spark, sf_dir):
+    return text.grounding(t_bm25(spark, sf_dir))
+
+
+@_query("t_metadata", "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND list_has_any([lang, source], ['en', 'web'])")
+def t_metadata(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumns({"namespace": F.lit("main"), "tags": F.array("lang", "source")})
+    return docs.where(text.metadata_filter(docs, {"namespace": "main", "lang": ["en", "de"], "tags": ["en", "web"]})).select("doc_id")
+
+
+@_query("t_index_upsert", r"""
+SELECT doc_id AS id, CAST(len(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS INTEGER) AS length
+FROM documents WHERE lang IN ('en', 'fr') AND NOT coalesce(n_chars > 5000, false)""")
+def t_index_upsert(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    index = text.TextIndex.build(docs.where("lang = 'en'"), "doc_id", "text").upsert(docs.where("lang IN ('en', 'fr')"), "doc_id", "text")
+    return index.delete(docs.where("n_chars > 5000"), "doc_id").documents.select("id", "length")
+
+
+@_query("r_ingest", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE value > 10 GROUP BY 1")
+def r_ingest(spark, sf_dir):
+    """Files that arrive are judged by rules and sunk batch by batch; the sink is then read."""
+    path = scratch.fresh(spark, "ingest")
+    files.write(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), f"{path}/in", "csv")
+    triggers = rules.Triggers([rules.Trigger("known", "on_ingest", "validate", "events", (rules.Rule("event_id", "NOT_NULL"),))])
+    stream = ingest.watch(spark, f"{path}/in", "event_id long, event_type string, value double")
+    sink = lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")  # noqa: E731  a repeated batch replaces itself
+    ingest.on_batches(stream, "events", triggers, f"{path}/checkpoint", sink).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").where("value > 10").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("r_once_per_content", "SELECT DISTINCT sha256(coalesce(text, '')) AS content_hash FROM documents")
+def r_once_per_content(spark, sf_dir):
+    path = scratch.fresh(spark, "once")
+    docs = table(spark, sf_dir, "documents")
+    docs.write.parquet(f"{path}/in")  # a stream reads folders only
+    stream = spark.readStream.schema(docs.schema).parquet(f"{path}/in").withColumn("at", F.lit(NOW))
+    fresh = ingest.once_per_content(stream, "text", "at").select("content_hash")
+    fresh.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("content_hash string").parquet(f"{path}/out")
+
+
+@_query("g_redact", r"""
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(?:api[_-]?key|secret|token|password)\b\s*[=:]\s*["'']?[A-Za-z0-9_\-/+=.]{8,}["'']?', '[REDACTED]', 'g'),
+  '\bAKIA[0-9A-Z]{16}\b', '[REDACTED]', 'g'), '-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'g'),
+  '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED]', 'g'), '\b(?:\d{4}[ -]){3}\d{4}\b', '[REDACTED]', 'g') AS text FROM documents""")
+def g_redact(spark, sf_dir):
+    return guard.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -247,6 +247,12 @@ def test_translation():
     assert (v.status, v.risk) == ("TRANSLATED", "LOW") and v.sql.endswith("f = true")
     for bad in ("SELECT a FROM t UNION SELECT b FROM u", "SELECT rank() OVER (ORDER BY a) FROM t", "SELECT * FROM a LEFT JOIN b ON a.x = b.x", "SELECT * FROM (SELECT 1)", "WITH x AS (SELECT 1) SELECT * FROM x"):
         assert dialects.translate_view("v", bad).status == "UNSUPPORTED"
+    for bad in ("SELECT count(*) FROM t", "SELECT a FROM t ORDER BY a", "SELECT DISTINCT a FROM t", "SELECT a.x FROM a INNER JOIN b ON a.x > b.y", "SELECT a.x FROM a, b", "SELECT x + 1 FROM t", "SELECT a FROM t WHERE x IN (SELECT y FROM u)",
+                "SELECT a.x FROM a INNER JOIN b ON a.k = b.k INNER JOIN c ON b.j = c.j", "SELECT a FROM t WHERE", "SELECT", "", "SELECT a FROM t GROUP BY a"):
+        assert dialects.translate_view("v", bad).status == "UNSUPPORTED", bad
+    for good, risk in (("SELECT a, t.b AS c FROM s.t /* union */;", "SAFE"), ("SELECT a FROM t WHERE note = 'order by' AND b IN (1, 2)", "LOW"), ("SELECT a.x, b.y FROM a INNER JOIN b ON a.k = b.k AND a.j = b.j WHERE a.x > 3", "MEDIUM")):
+        assert (dialects.translate_view("v", good).status, dialects.translate_view("v", good).risk) == ("TRANSLATED", risk), good
+    assert dialects.routine_risk("-- CURSOR c\nx := 'EXECUTE IMMEDIATE'; y := 1;") == (0, ()) and dialects.routine_risk("PRAGMA x; DBMS_OUTPUT.put(1); EXECUTE IMMEDIATE q; CURSOR c IS")[0] == 100
     t, exprs = dialects.translate_trigger("CREATE TRIGGER t BEFORE INSERT ON u FOR EACH ROW BEGIN :NEW.email := LOWER(:NEW.email); END;")
     assert t.status == "TRANSLATED" and exprs == {"email": "lower(email)"}
     assert dialects.translate_trigger("CREATE TRIGGER t AFTER INSERT ON u FOR EACH ROW BEGIN :NEW.a := UPPER(:NEW.a); END;")[0].status == "UNSUPPORTED"
