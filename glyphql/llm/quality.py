@@ -9,7 +9,7 @@ A document's posterior joins its evidence with the quality of the rest of its pa
 Only counts of (feature, bin, label), of evidence bins, and moments of sites reach the driver; each has a fixed bound. Site
 tables stay in the cluster and are joined to the documents by an ordinary equi-join.
 
-Defined results: null and empty texts have the bin 0 of every feature; a null host or path is a site of its own; without
+Defined results: null and empty texts are one empty word on one line, with shares of 0; a null host or path is a site of its own; without
 labels of both kinds all evidence is 0 and every score the prior mean; a document with several labels counts as the mean
 of them; labels of unknown documents are ignored; repeated rows count and are scored each for itself; an empty table gives
 an empty result; other columns are neither read nor returned.
@@ -31,7 +31,7 @@ BINS = 24
 
 
 def _share(part: Column, whole: Column, scale: float) -> Column:
-    return F.coalesce(F.least(F.lit(BINS - 1), F.floor(F.try_divide(part, whole) * scale)), F.lit(0)).cast("int")
+    return F.least(F.lit(BINS - 1), F.floor(F.coalesce(F.try_divide(part, whole), F.lit(0.0)) * scale)).cast("int")  # least passes over nulls
 
 
 def features(text: Column) -> dict[str, Column]:
