@@ -9,7 +9,7 @@
    first shingle that two prefixes share is never one of those left out.
 4. Members are verified on their whole sets. First each group is compared only with one other of every shingle's list, and
    the links found are joined into components; then, of the pairs left, those between different components are all
-   expanded and verified. A family of thousands of near copies thus costs a few comparisons for each instead of all its
+   expanded and verified, but for pairs whose signatures already differ in more places than linked sets can differ in. A family of thousands of near copies thus costs a few comparisons for each instead of all its
    pairs, and no link that would join two components is lost.
 
 A document's set holds 64-bit hashes of its shingles; sizes and overlaps are exact but for collisions (about 1 in 10^12
@@ -43,6 +43,9 @@ CHUNK_BITS = 16
 COUNT_SALTS = 16
 #: Further rounds between neighbours before all remaining pairs are verified; they change the cost, not the result.
 CHEAP_ROUNDS = 1
+#: Words of 64 bits in a set's signature: the parities of how many of its shingles fall on each bit.
+SIGNATURE = 8
+MARKS = [f"mark{k}" for k in range(SIGNATURE)]
 #: Ranks from here on are those of shingles that stand out by their own number.
 COMMON = 1 << 15
 
@@ -138,6 +141,12 @@ def _counters(docs: DataFrame, words: int) -> tuple[bytes, bytes]:
     return out[:n].tobytes(), out[n:].tobytes()
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Sets whose signatures differ in k bits differ in k shingles at least: each shingle that only one has flips one bit."""
+    bits = np.bincount((s >> U64(24)).astype(np.int64) & (64 * SIGNATURE - 1), minlength=64 * SIGNATURE) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def shingle_ranks(hashes: np.ndarray, shingles: np.ndarray, words: int, of_words: np.ndarray, of_shingles: np.ndarray, usual: float) -> np.ndarray:
     """How common each shingle is: the sum of its words' logarithms, as if words met by chance; but where its own counter
     stands out above the usual one, that counter's."""
@@ -162,10 +171,11 @@ def _profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
         mean = np.exp2(of_shingles / 6.0).mean()
         usual = 6 * np.log2(mean + 4 * mean**0.5 + 4)
         for batch in batches:
-            sizes, digests, keys, prefixes = [], [], [], []
+            sizes, digests, keys, prefixes, marks = [], [], [], [], []
             for hashes, shingles in document_hashes(batch.column(1), words):
                 s, at = np.unique(shingles, return_index=True)
                 sizes.append(len(s))
+                marks.append(signature(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 first = np.zeros(0, np.uint64)
                 if len(s):
@@ -178,10 +188,10 @@ def _profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 prefixes.append(first.view(np.int64))
             offs = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), tokens], ["id", "n", "digest", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), tokens, *map(pa.array, np.stack(marks).T if marks else np.zeros((SIGNATURE, 0), np.int64))], ["id", "n", "digest", "key", "prefix", *MARKS])
         release()
 
-    return docs.select("id", "text").mapInArrow(profile, f"id {id_type}, n int, digest binary, key binary, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(profile, f"id {id_type}, n int, digest binary, key binary, prefix array<long>, " + ", ".join(f"{m} long" for m in MARKS))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -218,7 +228,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = profiles.where("n > 0 and id is not null")
 
     # Equal sets are one class, named by its smallest id; classes with equal prefixes and sizes are one group.
-    classes = materialise(known.groupBy("digest", "key", "n").agg(F.min("id").alias("cls")), "classes")
+    classes = materialise(known.groupBy("digest", "key", "n").agg(F.min("id").alias("cls"), *(F.first(m).alias(m) for m in MARKS)), "classes")
     groups = materialise(classes.groupBy("key", "n").agg(F.min("cls").alias("gid"), F.count(F.lit(1)).alias("size")), "groups")
     many = groups.where("size > 1").select("key", "n", "gid")
     members = materialise(classes.join(many, ["key", "n"]).select("gid", "cls", "n"), "members")  # of groups of two and more
@@ -271,17 +281,26 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         nodes = materialise(components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b"), "components")
 
     # What is left: all pairs in one list whose members are in different components.
-    listed = materialise(_listed(tokens, members, nodes), "listed")
-    per_list = listed.groupBy("tok", "component").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    listed = materialise(_listed(tokens, members, nodes).join(classes.select("cls", "n", *MARKS).distinct(), ["cls", "n"], "left"), "listed")
+    per_list = listed.groupBy("tok", "component").agg(
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count(F.lit(1)).alias("rows"), *(F.first(m).alias(m) for m in MARKS)
+    )
     per_list = materialise(per_list.select("*", F.count(F.lit(1)).over(whole).alias("k")).where("k > 1").drop("k"), "lists")
-    one, two = (per_list.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("component", "least_n", "most_n", "rest"))) for k in (1, 2))
-    # Two components can link only if sizes and positions of some members allow it.
-    apart = one.join(two, "tok").where("component1 < component2").where(
+    one, two = (per_list.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("component", "least_n", "most_n", "rest", "rows", *MARKS))) for k in (1, 2))
+
+    def alike(n1, n2) -> F.Column:
+        """Whether the signatures leave an overlap that links: sets of these sizes differ in n1 + n2 - 2 overlaps."""
+        differ = sum((F.bit_count(F.col(f"{m}1").bitwiseXOR(F.col(f"{m}2"))) for m in MARKS), F.lit(0))
+        return F.coalesce((n1 + n2 - differ) * (100 + percent) >= 2 * percent * (n1 + n2), F.lit(True))
+
+    # Two components can link only if sizes and positions of some members allow it, and single members also by signatures.
+    apart = one.join(two, "tok").where("component1 < component2").where((F.col("rows1") > 1) | (F.col("rows2") > 1) | alike(F.col("least_n1"), F.col("least_n2"))).where(
         (F.col("most_n1") * 100 >= F.col("least_n2") * percent) & (F.col("most_n2") * 100 >= F.col("least_n1") * percent)
         & (F.least("rest1", "rest2") * (100 + percent) >= (F.col("least_n1") + F.col("least_n2")) * percent)
     ).select("tok", "component1", "component2")
-    left, right = (listed.select("tok", F.col("component").alias(f"component{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "pos"))) for k in (1, 2))
-    rest = apart.join(left, ["tok", "component1"]).join(right, ["tok", "component2"]).where(fits(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")))
+    left, right = (listed.select("tok", F.col("component").alias(f"component{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "pos", *MARKS))) for k in (1, 2))
+    rest = apart.join(left, ["tok", "component1"]).join(right, ["tok", "component2"])
+    rest = rest.where(fits(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & alike(F.col("n1"), F.col("n2")))
     rest = rest.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _verify(rest, docs, words, percent)
     joined = components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
