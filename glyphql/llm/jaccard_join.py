@@ -41,8 +41,9 @@ COUNTER_BITS = 22
 CHUNK_BITS = 16
 #: Map tasks' counters meet in so many groups for each chunk before they meet in one.
 COUNT_SALTS = 16
-#: Further rounds between neighbours before all remaining pairs are verified; they change the cost, not the result.
-CHEAP_ROUNDS = 1
+#: Further rounds between neighbours, as long as they find links, before all remaining pairs are verified; they change the
+#: cost, not the result.
+CHEAP_ROUNDS = 5
 #: Words of 64 bits in a set's signature: the parities of how many of its shingles fall on each bit.
 SIGNATURE = 8
 MARKS = [f"mark{k}" for k in range(SIGNATURE)]
@@ -265,11 +266,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verify(pairs, docs, words, percent)
     first = materialise(components(links, "a", "b"), "components")
 
-    # A few rounds of the same kind, between neighbours by size that are still in different components.
+    # A few rounds of the same kind: of each component one row in every list, early enough to link, with the next one by
+    # size, and then in a new order each time, so that a family melts together by a share of its components each round.
     tried, nodes = pairs, first
-    for _ in range(CHEAP_ROUNDS):
-        listed = _listed(tokens, members, nodes)
-        beside = Window.partitionBy("tok").orderBy("n", "cls")
+    early = (F.col("n") - F.col("pos")) * (100 + percent) >= 2 * percent * F.col("n")
+    for turn in range(CHEAP_ROUNDS):
+        place = F.col("n").cast("long") if turn == 0 else F.xxhash64("cls", F.lit(turn))
+        listed = _listed(tokens, members, nodes).where(early).groupBy("tok", "component").agg(F.min(F.struct(place.alias("place"), "cls", "n", "pos")).alias("r"))
+        listed = listed.select("tok", "component", "r.*")
+        beside = Window.partitionBy("tok").orderBy("place", "cls")
         beside = listed.select("*", *(F.lag(c).over(beside).alias(f"o_{c}") for c in ("cls", "n", "pos", "component")))
         beside = beside.where((F.col("component") != F.col("o_component")) & fits(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos")))
         beside = beside.select(F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
