@@ -8,9 +8,10 @@
    stand in exactly the same prefixes, as those of a shared passage do, only the first in the order lists its groups: the
    first shingle that two prefixes share is never one of those left out.
 4. Members are verified on their whole sets. First each group is compared only with one other of every shingle's list, and
-   the links found are joined into components; then, of the pairs left, those between different components are all
-   expanded and verified, but for pairs whose signatures already differ in more places than linked sets can differ in. A family of thousands of near copies thus costs a few comparisons for each instead of all its
-   pairs, and no link that would join two components is lost.
+   the links found are joined into components; then all pairs left between different components are compared by sizes,
+   positions and signatures where they stand, large lists in cells of two blocks each, and those that may still link are
+   verified. A family of thousands of near copies thus costs a few rows for each instead of all its pairs, and no link
+   that would join two components is lost.
 
 A document's set holds 64-bit hashes of its shingles; sizes and overlaps are exact but for collisions (about 1 in 10^12
 for a pair of documents of a thousand words).
@@ -46,6 +47,12 @@ CHEAP_ROUNDS = 1
 #: Words of 64 bits in a set's signature: the parities of how many of its shingles fall on each bit.
 SIGNATURE = 8
 MARKS = [f"mark{k}" for k in range(SIGNATURE)]
+#: Rows of a list that meet in one cell, on either side; and a row's lists that it remembers.
+BLOCK = 1024
+BEFORE = 16
+#: Rows, or pairs, that a task holds besides one cell, and those it compares at a time.
+HELD_ROWS = 1 << 15
+STEP_ROWS = 1 << 13
 #: Ranks from here on are those of shingles that stand out by their own number.
 COMMON = 1 << 15
 
@@ -231,16 +238,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialise(known.groupBy("digest", "key", "n").agg(F.min("id").alias("cls"), *(F.first(m).alias(m) for m in MARKS)), "classes")
     groups = materialise(classes.groupBy("key", "n").agg(F.min("cls").alias("gid"), F.count(F.lit(1)).alias("size")), "groups")
     many = groups.where("size > 1").select("key", "n", "gid")
-    members = materialise(classes.join(many, ["key", "n"]).select("gid", "cls", "n"), "members")  # of groups of two and more
+    members = materialise(classes.join(many, ["key", "n"]).select("gid", "cls", "n", F.xxhash64("gid", "key").alias("src")), "members")  # of groups of two and more
 
     # The lists of prefix shingles; a row stays only if the next larger or smaller group is of a size that could link.
     by_id = known.select("id", "key", "n", "prefix").join(groups.select(F.col("gid").alias("id"), "key", "n"), ["id", "key", "n"]).dropDuplicates(["id", "key"])
-    tokens = by_id.select(F.col("id").alias("gid"), "n", F.xxhash64("id", "key").alias("row"), F.posexplode("prefix").alias("pos", "tok"))
-    inside = members.select(F.col("cls").alias("gid"), "n", F.xxhash64("cls", "n").alias("row"), F.lit(0).alias("pos"), F.xxhash64(F.lit("group"), "gid").alias("tok"))
+    tokens = by_id.select(F.col("id").alias("gid"), "n", F.xxhash64("id", "key").alias("row"), F.xxhash64("id", "key").alias("src"), F.posexplode("prefix").alias("pos", "tok"))
+    inside = members.select(F.col("cls").alias("gid"), "n", F.xxhash64("cls", "n").alias("row"), "src", F.lit(0).alias("pos"), F.xxhash64(F.lit("group"), "gid").alias("tok"))
     by_size = Window.partitionBy("tok").orderBy("n", "gid")
     tokens = tokens.unionAll(inside).select("*", *(f("n").over(by_size).alias(f"{w}_n") for w, f in (("prev", F.lag), ("next", F.lead))))
     could = lambda m: F.least("n", m) * (100 + percent) >= (F.col("n") + F.col(m)) * percent
-    every = materialise(tokens.where(could("prev_n") | could("next_n")).select("tok", "gid", "n", "pos", "row"), "tokens")
+    every = materialise(tokens.where(could("prev_n") | could("next_n")).select("tok", "gid", "n", "pos", "row", "src"), "tokens")
 
     # Shingles with equal lists (by number and two hashes of the rows): in any of the list's rows, the first of them stands first.
     of_list = every.groupBy("tok").agg(
@@ -280,28 +287,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         nodes = materialise(components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b"), "components")
 
-    # What is left: all pairs in one list whose members are in different components.
-    listed = materialise(_listed(tokens, members, nodes).join(classes.select("cls", "n", *MARKS).distinct(), ["cls", "n"], "left"), "listed")
-    per_list = listed.groupBy("tok", "component").agg(
-        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count(F.lit(1)).alias("rows"), *(F.first(m).alias(m) for m in MARKS)
-    )
-    per_list = materialise(per_list.select("*", F.count(F.lit(1)).over(whole).alias("k")).where("k > 1").drop("k"), "lists")
-    one, two = (per_list.select("tok", *(F.col(c).alias(f"{c}{k}") for c in ("component", "least_n", "most_n", "rest", "rows", *MARKS))) for k in (1, 2))
-
-    def alike(n1, n2) -> F.Column:
-        """Whether the signatures leave an overlap that links: sets of these sizes differ in n1 + n2 - 2 overlaps."""
-        differ = sum((F.bit_count(F.col(f"{m}1").bitwiseXOR(F.col(f"{m}2"))) for m in MARKS), F.lit(0))
-        return F.coalesce((n1 + n2 - differ) * (100 + percent) >= 2 * percent * (n1 + n2), F.lit(True))
-
-    # Two components can link only if sizes and positions of some members allow it, and single members also by signatures.
-    apart = one.join(two, "tok").where("component1 < component2").where((F.col("rows1") > 1) | (F.col("rows2") > 1) | alike(F.col("least_n1"), F.col("least_n2"))).where(
-        (F.col("most_n1") * 100 >= F.col("least_n2") * percent) & (F.col("most_n2") * 100 >= F.col("least_n1") * percent)
-        & (F.least("rest1", "rest2") * (100 + percent) >= (F.col("least_n1") + F.col("least_n2")) * percent)
-    ).select("tok", "component1", "component2")
-    left, right = (listed.select("tok", F.col("component").alias(f"component{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("cls", "n", "pos", *MARKS))) for k in (1, 2))
-    rest = apart.join(left, ["tok", "component1"]).join(right, ["tok", "component2"])
-    rest = rest.where(fits(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2")) & alike(F.col("n1"), F.col("n2")))
-    rest = rest.select(F.least("cls1", "cls2").alias("a"), F.greatest("cls1", "cls2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    # What is left: all pairs in one list whose members are in different components, each at its first common shingle.
+    rest = _remaining(_listed(tokens, members, nodes).join(classes.select("cls", "n", *MARKS).distinct(), ["cls", "n"], "left"), percent)
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _verify(rest, docs, words, percent)
     joined = components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
 
@@ -313,11 +301,125 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _listed(tokens: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The lists with every member of a group, and its component so far: ``tok, cls, n, pos, component``."""
-    rows = tokens.join(members.select("gid", F.col("cls").alias("member")), "gid", "left").select("tok", F.coalesce("member", "gid").alias("cls"), "n", "pos").distinct()
+    """The lists with every member of a group, and its component so far: ``tok, cls, n, pos, src, component``."""
+    rows = tokens.join(members.select("gid", F.col("cls").alias("member")), "gid", "left").select("tok", F.coalesce("member", "gid").alias("cls"), "n", "pos", "src").distinct()
     return rows.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
 
 
+def _remaining(listed: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of one list and different components that sizes, positions and signatures let link.
+
+    Lists of more than ``BLOCK`` rows are dealt into blocks, and every two blocks meet in a cell of their own: a component
+    of more rows than that has blocks to itself, which do not meet one another. A cell's pairs are compared where they
+    stand, so only those that may link are ever rows.
+    """
+    listed = materialise(listed, "listed")
+    lists = listed.groupBy("tok").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("k"))
+    lists = materialise(lists.where("c0 < c1").select("tok", "k"), "lists")
+    # Both members of a pair know their last few lists before this one: a pair that met there is not made again here.
+    earlier = Window.partitionBy("cls", "src", "n", *MARKS).orderBy("pos", "tok").rowsBetween(-BEFORE, -1)
+    rows = materialise(listed.join(lists, "tok").withColumn("before", F.collect_list("tok").over(earlier)).drop("src"), "rows")
+
+    hot = rows.where(F.col("k") > BLOCK)
+    sizes = hot.groupBy("tok", "component").agg(F.count(F.lit(1)).alias("c"))
+    small = sizes.where(F.col("c") <= BLOCK).groupBy("tok").agg(F.sum("c").alias("smalls"))
+    large = sizes.where(F.col("c") > BLOCK)
+    placed = hot.join(large, ["tok", "component"], "left").join(small, "tok", "left")
+    own = F.col("c").isNotNull()
+    placed = placed.withColumn("home", F.when(own, F.xxhash64("component")).otherwise(F.lit(0)))
+    dealt = F.when(own, F.pmod(F.xxhash64("cls"), F.ceil(F.col("c") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("smalls") / BLOCK)))
+    placed = materialise(placed.withColumn("at", F.struct("home", dealt.alias("salt"))).drop("home", "c", "smalls"), "placed")
+    blocks = placed.select("tok", "at").distinct()
+    cells = blocks.withColumnRenamed("at", "one").join(blocks.withColumnRenamed("at", "two"), "tok").where((F.col("one") <= F.col("two")) & ((F.col("one.home") != F.col("two.home")) | (F.col("one.home") == 0)))
+    cells = materialise(cells.select("tok", "one", "two", F.xxhash64("one", "two").alias("cell"), (F.col("one") == F.col("two")).alias("within")), "cells")
+    columns = ["tok", "cell", "within", "side", "component", "cls", "n", "pos", "before", *MARKS]
+    sides = [placed.join(cells.withColumnRenamed(end, "at"), ["tok", "at"]).withColumn("side", F.lit(k)) for k, end in ((0, "one"), (1, "two"))]
+    met = rows.where(F.col("k") <= BLOCK).withColumns({"cell": F.lit(0).cast("long"), "within": F.lit(True), "side": F.lit(0)}).select(columns)
+    met = met.unionAll(sides[0].select(columns)).unionAll(sides[1].where("not within").select(columns))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            size += len(batch)
+            if size < HELD_ROWS:
+                continue
+            t = pa.concat_tables(held).combine_chunks()
+            starts = _starts(t, "tok", "cell")
+            whole = int(starts[-1])  # the last cell may go on
+            yield from _alike(t.slice(0, whole).combine_chunks(), percent)
+            held, size = [t.slice(whole).combine_chunks()], len(t) - whole
+        if size:
+            yield from _alike(pa.concat_tables(held).combine_chunks(), percent)
+        release()
+
+    t = listed.schema["cls"].dataType.simpleString()
+    return met.repartition("tok", "cell").sortWithinPartitions("tok", "cell", "component").mapInArrow(pairs, f"a {t}, b {t}")
+
+
+def _starts(t: pa.Table, *columns: str) -> np.ndarray:
+    """Where a new value of the columns begins in rows sorted by them."""
+    new = np.zeros(len(t), bool)
+    new[:1] = True
+    for c in columns:
+        codes = t.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _alike(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of each cell: every row with the rows after those of its own component, one step at a time for all rows."""
+    if not len(t):
+        return
+    size = len(t)
+    cell_end, run_end = _ends(t, "tok", "cell"), _ends(t, "tok", "cell", "component")
+    within, side, n, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("within", "side", "n", "pos"))
+    marked = np.asarray(t.column(MARKS[0]).is_valid())
+    marks = np.stack([t.column(m).fill_null(0).to_numpy().view(np.uint64) for m in MARKS], axis=1)
+    before = t.column("before").combine_chunks()
+    lengths = before.value_lengths().fill_null(0).to_numpy()
+    seen = np.zeros((size, BEFORE), np.int64)
+    seen[np.arange(BEFORE) < lengths[:, None]] = before.flatten().to_numpy()
+    cls = t.column("cls").combine_chunks()
+
+    def batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([cls.take(pa.array(np.concatenate([f[k] for f in found]))) for k in (0, 1)], ["a", "b"])
+
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    number = 0
+    i = np.flatnonzero(run_end < cell_end)
+    j = run_end[i]
+    while len(i):
+        for k in range(0, len(i), STEP_ROWS):
+            x, y = i[k : k + STEP_ROWS], j[k : k + STEP_ROWS]
+            both = n[x] + n[y]
+            bound = np.minimum(n[x] - pos[x], n[y] - pos[y])
+            may = ((within[x] == 1) | (side[x] != side[y])) & (bound * (100 + percent) >= both * percent)
+            x, y, both = x[may], y[may], both[may]
+            # Sets of these sizes differ in n1 + n2 - 2 overlaps, and in as many shingles as signatures differ in bits at least.
+            differ = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
+            may = ~(marked[x] & marked[y]) | ((both - differ) * (100 + percent) >= 2 * percent * both)
+            x, y = x[may], y[may]
+            met = ((seen[x][:, :, None] == seen[y][:, None, :]) & (seen[x] != 0)[:, :, None]).any(axis=(1, 2))
+            found.append((x[~met], y[~met]))
+            number += len(found[-1][0])
+        if number > HELD_ROWS:
+            yield batch(found)
+            found, number = [], 0
+        j = j + 1
+        more = j < cell_end[i]
+        i, j = i[more], j[more]
+    if number:
+        yield batch(found)
+
+
+def _ends(t: pa.Table, *columns: str) -> np.ndarray:
+    """For every row, where the rows with its values of the columns end."""
+    starts = _starts(t, *columns)
+    return np.repeat(np.append(starts[1:], len(t)), np.diff(starts, append=len(t)))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """``id, set``: sorted 64-bit hashes. A repeated id stands for the union of its rows' sets only if they are equal."""
 

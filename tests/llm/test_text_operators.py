@@ -284,6 +284,40 @@ def test_jaccard_join_equals_brute_force(spark, words, percent):
     assert sorted(map(tuple, jaccard_join.similar_components(df, words=words, percent=percent).collect())) == brute_components(rows, words, percent)
 
 
+@pytest.mark.parametrize("block", [3, 20, 1024])
+def test_remaining_pairs_equal_brute_force_however_lists_are_dealt(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(block)
+    rows, lists = [], defaultdict(list)
+    for i in range(120):
+        component = 0 if i < 50 else i if i < 90 else 90 + i % 7
+        n = rng.randint(20, 40)
+        marks = [rng.getrandbits(63) * rng.choice([1, -1])] * jaccard_join.SIGNATURE if i % 3 else [0] * jaccard_join.SIGNATURE
+        for pos, tok in enumerate(sorted(rng.sample(range(9), 5))):
+            rows.append((tok - 20, i, n, pos, i, component, *(marks if i % 5 else [None] * jaccard_join.SIGNATURE)))
+            lists[tok].append((i, n, pos, component, marks, i % 5))
+    want = set()
+    for held in lists.values():
+        for a, an, ap, ac, am, ak in held:
+            for b, bn, bp, bc, bm, bk in held:
+                differ = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(am, bm, strict=True)) if ak and bk else 0
+                if a < b and ac != bc and min(an - ap, bn - bp) * 180 >= (an + bn) * 80 and (an + bn - differ) * 180 >= 160 * (an + bn):
+                    want.add((a, b))
+    schema = "tok long, cls long, n int, pos int, src long, component long, " + ", ".join(f"{m} long" for m in jaccard_join.MARKS)
+    got = [tuple(sorted(r)) for r in jaccard_join._remaining(spark.createDataFrame(rows, schema), 80).collect()]
+    assert len(want) > 100 and sorted(got) == sorted(want)  # each pair once
+
+
+def test_jaccard_join_equals_brute_force_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(300)}" for _ in range(60)]
+    texts = [" ".join(f"x{rng.randrange(300)}" if rng.random() < 0.04 else w for w in base) for _ in range(60)]
+    rows = list(enumerate([*texts, texts[0], None]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.similar_components(df, words=5, percent=80).collect())) == brute_components(rows, 5, 80)
+
+
 def test_jaccard_join_edges(docs, spark):
     assert jaccard_join.similar_components(docs.limit(0)).count() == 0
     kept = jaccard_join.keep_one(docs)
