@@ -109,7 +109,7 @@ def _counters(docs: DataFrame, words: int) -> tuple[bytes, bytes]:
             for hashes, shingles in document_hashes(batch.column(0), words):
                 held.append((hashes, np.unique(shingles)))
                 size += len(hashes)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     settle()
                     held, size = [], 0
         if held:
@@ -175,7 +175,7 @@ def _profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_words, of_shingles = (np.frombuffer(t, np.uint8) for t in tables.value)
-        mean = np.exp2(of_shingles / 6.0).mean()
+        mean = (np.bincount(of_shingles, minlength=256) * np.exp2(np.arange(256) / 6.0)).sum() / len(of_shingles)
         usual = 6 * np.log2(mean + 4 * mean**0.5 + 4)
         for batch in batches:
             sizes, digests, keys, prefixes, marks = [], [], [], [], []
