@@ -8,10 +8,11 @@
    stand in exactly the same prefixes, as those of a shared passage do, only the first in the order lists its groups: the
    first shingle that two prefixes share is never one of those left out.
 4. Members are verified on their whole sets. First each group is compared only with one other of every shingle's list, and
-   the links found are joined into components; then all pairs left between different components are compared by sizes,
-   positions and signatures where they stand, large lists in cells of two blocks each, and those that may still link are
-   verified. A family of thousands of near copies thus costs a few rows for each instead of all its pairs, and no link
-   that would join two components is lost.
+   the links found are joined into components. Then all pairs between different components are compared by sizes, positions
+   and signatures where they stand, large lists in cells of two blocks each: for some rounds only a spanning forest of the
+   likeliest of a cell's pairs is verified, fewer than the cell has rows, and its links are joined; at last all pairs still
+   left that may link are. A family of thousands of near copies thus costs a few rows for each instead of all its pairs,
+   and no link that would join two components is lost.
 
 A document's set holds 64-bit hashes of its shingles; sizes and overlaps are exact but for collisions (about 1 in 10^12
 for a pair of documents of a thousand words).
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, materialise, release, table, utf8_view
+from .common import discard, doc_chunks, materialise, release, table, utf8_view
 from .components import components
 from .wordhash import SPACES, U64, shingle_hashes, word_bounds, word_hashes
 
@@ -42,8 +43,10 @@ COUNTER_BITS = 22
 CHUNK_BITS = 16
 #: Map tasks' counters meet in so many groups for each chunk before they meet in one.
 COUNT_SALTS = 16
-#: Further rounds between neighbours before all remaining pairs are verified; they change the cost, not the result.
-CHEAP_ROUNDS = 1
+#: Rounds of spanning forests before all remaining pairs are verified, the last one where so few of its pairs did not link;
+#: they change the cost, not the result.
+FOREST_ROUNDS = 3
+FEW_UNLINKED = 10_000
 #: Words of 64 bits in a set's signature: the parities of how many of its shingles fall on each bit.
 SIGNATURE = 8
 MARKS = [f"mark{k}" for k in range(SIGNATURE)]
@@ -53,6 +56,8 @@ BEFORE = 16
 #: Rows, or pairs, that a task holds besides one cell, and those it compares at a time.
 HELD_ROWS = 1 << 15
 STEP_ROWS = 1 << 13
+#: Pairs that a task holds, besides those of a forest, before it cuts them to a forest.
+HELD_PAIRS = 1 << 18
 #: Ranks from here on are those of shingles that stand out by their own number.
 COMMON = 1 << 15
 
@@ -272,24 +277,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verify(pairs, docs, words, percent)
     first = materialise(components(links, "a", "b"), "components")
 
-    # A few rounds of the same kind, between neighbours by size that are still in different components.
+    # Rounds of spanning forests: of every cell's pairs in different components, those that could join the most.
+    marked = classes.select("cls", "n", *MARKS).distinct()
     tried, nodes = pairs, first
-    for _ in range(CHEAP_ROUNDS):
-        listed = _listed(tokens, members, nodes)
-        beside = Window.partitionBy("tok").orderBy("n", "cls")
-        beside = listed.select("*", *(F.lag(c).over(beside).alias(f"o_{c}") for c in ("cls", "n", "pos", "component")))
-        beside = beside.where((F.col("component") != F.col("o_component")) & fits(F.col("n"), F.col("pos"), F.col("o_n"), F.col("o_pos")))
-        beside = beside.select(F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        beside = materialise(beside, "pairs")
-        more = _verify(beside, docs, words, percent)
-        tried = tried.unionAll(beside)
-        if more.isEmpty():
+    for _ in range(FOREST_ROUNDS):
+        rest = materialise(_remaining(_listed(tokens, members, nodes).join(marked, ["cls", "n"], "left"), percent, forest=True).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = _verify(rest, docs, words, percent)
+        tried = tried.unionAll(rest)
+        found = more.count()
+        if found:
+            nodes = materialise(components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b"), "components")
+        if not found or rest.count() - found < FEW_UNLINKED:
             break
-        nodes = materialise(components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b"), "components")
 
     # What is left: all pairs in one list whose members are in different components, each at its first common shingle.
-    rest = _remaining(_listed(tokens, members, nodes).join(classes.select("cls", "n", *MARKS).distinct(), ["cls", "n"], "left"), percent)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = _remaining(_listed(tokens, members, nodes).join(marked, ["cls", "n"], "left"), percent).join(tried, ["a", "b"], "left_anti")
     more = _verify(rest, docs, words, percent)
     joined = components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
 
@@ -306,8 +308,9 @@ def _listed(tokens: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFram
     return rows.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
 
 
-def _remaining(listed: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of one list and different components that sizes, positions and signatures let link.
+def _remaining(listed: DataFrame, percent: int, forest: bool = False) -> DataFrame:
+    """Pairs ``a, b`` of one list and different components that sizes, positions and signatures let link: all of them, or
+    of each cell only a spanning forest of the components that they join.
 
     Lists of more than ``BLOCK`` rows are dealt into blocks, and every two blocks meet in a cell of their own: a component
     of more rows than that has blocks to itself, which do not meet one another. A cell's pairs are compared where they
@@ -348,14 +351,17 @@ def _remaining(listed: DataFrame, percent: int) -> DataFrame:
             t = pa.concat_tables(held).combine_chunks()
             starts = _starts(t, "tok", "cell")
             whole = int(starts[-1])  # the last cell may go on
-            yield from _alike(t.slice(0, whole).combine_chunks(), percent)
+            yield from _alike(t.slice(0, whole).combine_chunks(), percent, forest)
             held, size = [t.slice(whole).combine_chunks()], len(t) - whole
         if size:
-            yield from _alike(pa.concat_tables(held).combine_chunks(), percent)
+            yield from _alike(pa.concat_tables(held).combine_chunks(), percent, forest)
         release()
 
     t = listed.schema["cls"].dataType.simpleString()
-    return met.repartition("tok", "cell").sortWithinPartitions("tok", "cell", "component").mapInArrow(pairs, f"a {t}, b {t}")
+    found = met.repartition("tok", "cell").sortWithinPartitions("tok", "cell", "component").mapInArrow(pairs, f"a {t}, b {t}")
+    found = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "remaining")
+    discard(listed.sparkSession, listed, lists, rows, placed, cells)
+    return found
 
 
 def _starts(t: pa.Table, *columns: str) -> np.ndarray:
@@ -368,8 +374,10 @@ def _starts(t: pa.Table, *columns: str) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _alike(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of each cell: every row with the rows after those of its own component, one step at a time for all rows."""
+def _alike(t: pa.Table, percent: int, forest: bool = False) -> Iterator[pa.RecordBatch]:
+    """The pairs of each cell: every row with the rows after those of its own component, one step at a time for all rows.
+
+    With ``forest``: of each cell's pairs only a spanning forest, of those whose signatures differ least for their sizes."""
     if not len(t):
         return
     size = len(t)
@@ -383,11 +391,18 @@ def _alike(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     seen[np.arange(BEFORE) < lengths[:, None]] = before.flatten().to_numpy()
     cls = t.column("cls").combine_chunks()
 
-    def batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    runs = np.cumsum(np.append(0, np.diff(run_end) != 0))
+
+    def spanning(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        x, y, apart = (np.concatenate([f[k] for f in found]) for k in range(3))
+        kept = spanning_forest(runs[x], runs[y], apart)
+        return x[kept], y[kept], apart[kept]
+
+    def batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([cls.take(pa.array(np.concatenate([f[k] for f in found]))) for k in (0, 1)], ["a", "b"])
 
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    number = 0
+    found: list[tuple[np.ndarray, ...]] = []
+    number, kept = 0, 0
     i = np.flatnonzero(run_end < cell_end)
     j = run_end[i]
     while len(i):
@@ -400,18 +415,48 @@ def _alike(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
             # Sets of these sizes differ in n1 + n2 - 2 overlaps, and in as many shingles as signatures differ in bits at least.
             differ = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
             may = ~(marked[x] & marked[y]) | ((both - differ) * (100 + percent) >= 2 * percent * both)
-            x, y = x[may], y[may]
+            x, y, apart = x[may], y[may], (differ / both)[may]
             met = ((seen[x][:, :, None] == seen[y][:, None, :]) & (seen[x] != 0)[:, :, None]).any(axis=(1, 2))
-            found.append((x[~met], y[~met]))
+            found.append((x[~met], y[~met], apart[~met]))
             number += len(found[-1][0])
-        if number > HELD_ROWS:
+        if forest and number > kept + HELD_PAIRS:
+            found = [spanning(found)]
+            number = kept = len(found[0][0])
+        elif not forest and number > HELD_ROWS:
             yield batch(found)
             found, number = [], 0
         j = j + 1
         more = j < cell_end[i]
         i, j = i[more], j[more]
     if number:
-        yield batch(found)
+        yield batch([spanning(found)] if forest else found)
+
+
+def spanning_forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The edges of a spanning forest of least weight, as places in the edges ``u - v``; all components in step (Borůvka)."""
+    order = np.argsort(weight, kind="stable")
+    nodes, at = np.unique(np.concatenate([u[order], v[order]]), return_inverse=True)
+    u, v = at[: len(order)], at[len(order) :]
+    rank = np.arange(len(order))  # of the edges left; no two alike, so choices close no circle
+    label = np.arange(len(nodes))
+    kept: list[np.ndarray] = []
+    while len(rank := rank[label[u[rank]] != label[v[rank]]]):
+        a, b = label[u[rank]], label[v[rank]]
+        best = np.full(len(nodes), len(order))
+        np.minimum.at(best, a, rank)
+        np.minimum.at(best, b, rank)
+        own = np.flatnonzero(best < len(order))
+        best = best[own]
+        kept.append(np.unique(best))
+        other = label[u[best]] + label[v[best]] - own
+        parent = np.arange(len(nodes))
+        parent[own] = other
+        back = own[(parent[other] == own) & (own < other)]  # two that chose the same edge: the smaller is the root
+        parent[back] = back
+        while (parent != (up := parent[parent])).any():
+            parent = up
+        label = parent[label]
+    return order[np.concatenate([*kept, np.zeros(0, np.int64)])]
 
 
 def _ends(t: pa.Table, *columns: str) -> np.ndarray:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +319,31 @@ def test_jaccard_join_equals_brute_force_in_small_cells(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_join.similar_components(df, words=5, percent=80).collect())) == brute_components(rows, 5, 80)
 
 
+def test_a_family_is_linked_by_few_pairs_for_each_member(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.011 else w for w in base) for _ in range(240)]
+    rows = list(enumerate(texts))
+    made, verify = [], jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda pairs, *rest: made.append(verify(pairs, *rest)) or made[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.similar_components(df, words=5, percent=80).collect()))
+    assert got == brute_components(rows, 5, 80) and sum(m.count() for m in made) < 3 * len(rows)
+
+
+def test_spanning_forest_joins_what_its_edges_join():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, m = rng.integers(1, 12), rng.integers(0, 40)
+        u, v, weight = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 4, m) / 3
+        root, want = list(range(n)), []
+        for k in np.argsort(weight, kind="stable"):
+            if root[u[k]] != root[v[k]]:
+                want.append(k)
+                root = [root[u[k]] if r == root[v[k]] else r for r in root]
+        assert sorted(jaccard_join.spanning_forest(u, v, weight)) == sorted(want)
+
+
 def test_jaccard_join_edges(docs, spark):
     assert jaccard_join.similar_components(docs.limit(0)).count() == 0
     kept = jaccard_join.keep_one(docs)
