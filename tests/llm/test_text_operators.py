@@ -460,6 +460,29 @@ def test_pieces_equal_the_library(docs, spark):
     assert piece_encoding.encode_documents(docs.limit(0), PIECES).count() == 0
 
 
+def test_piece_spans_equal_the_library(docs, spark):
+    import sentencepiece
+
+    lib, own, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_encoding.model(PIECES), random.Random(16)
+
+    def spans(text):
+        """The library's offsets, in bytes; of the bytes of one character it gives the span to the last one alone."""
+        out = []
+        for p in reversed(lib.encode(text, return_type="proto").pieces):
+            out.append((p.begin, out[-1][1] if out and lib.is_byte(p.id) and p.begin == p.end else p.end))
+        return out[::-1]
+
+    pool = [*ALPHABET, "▁", "<s>", "a" * 40, " " * 20, "﻿"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(600)]
+    for t in [*texts, *(t or "" for _, t in DOCS)]:
+        assert [x[1:] for x in own.encode(t)] == spans(t), t
+    digests, full = by_id(piece_encoding.encode_documents(docs, PIECES)), by_id(piece_encoding.encode_texts(docs, PIECES))
+    for i, t in DOCS:
+        want = spans(t or "")
+        assert digests[i].spans_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+        assert (full[i].ids, list(zip(full[i].starts, full[i].ends)), full[i].decoded) == (lib.encode(t or ""), want, lib.decode(lib.encode(t or "")))
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_character_maps(rule):
     import sentencepiece
