@@ -8,9 +8,11 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,3 +104,12 @@ def doc_chunks(offsets: np.ndarray, most: int = 1 << 20):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], text_at: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in order, in slices of about ``most`` bytes of text, one row at least. Spark sends up to
+    10,000 rows in one batch; what is made of a slice stays small beside it."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+        for i, j in doc_chunks(np.append(0, np.cumsum(sizes, dtype=np.int64)), most):
+            yield batch.slice(i, j - i)

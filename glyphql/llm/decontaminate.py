@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import LOWER, UPPER, doc_chunks, table, utf8_view
+from .common import LOWER, UPPER, by_bytes, doc_chunks, release, table, utf8_view
 from .wordhash import ALNUM, U64, mix, word_bounds, word_hashes
 
 WINDOW = 10
@@ -237,7 +237,7 @@ def unite(spans: list[list[int]]) -> list[list[int]]:
 def annotate(rows: DataFrame, benchmark: DataFrame, finish: Callable, schema: str | StructType, text_col: str, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """One pass over ``rows`` for each chunk of items, without a shuffle; the last one returns what ``finish`` makes.
 
-    finish: gets a batch of ``rows`` and of each row a dict with ``n``, ``spans`` (of words), ``places`` (of bytes) and
+    finish: gets a slice of a batch of ``rows`` and of each row a dict with ``n``, ``spans`` (of words), ``places`` (of bytes) and
     ``items``, and returns a batch of ``schema``."""
     sc = rows.sparkSession.sparkContext
     state = "_decontaminate_state"
@@ -254,7 +254,7 @@ def annotate(rows: DataFrame, benchmark: DataFrame, finish: Callable, schema: st
         def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key, last=after is None) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(key, sent.value, window)
             ids = matcher.automaton.ids
-            for batch in batches:
+            for batch in by_bytes(batches, text_at):
                 own = batch.select(range(columns))
                 before = batch.column(columns).to_pylist() if batch.num_columns > columns else [None] * len(batch)
                 got = []
@@ -267,6 +267,7 @@ def annotate(rows: DataFrame, benchmark: DataFrame, finish: Callable, schema: st
                 else:
                     states = [json.dumps(g) if g["spans"] else None for g in got]
                     yield pa.RecordBatch.from_arrays([*own.columns, pa.array(states, pa.string())], [*own.schema.names, state])
+            release()
 
         out = out.mapInArrow(run, schema if after is None else between)
         chunk = after

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, table
+from .common import by_bytes, release, table
 
 SIZE = 400
 UNKNOWN = "und"
@@ -185,9 +185,10 @@ def keep_known(docs: DataFrame, profiles: dict[str, list[int]], text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(profiles, size)
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             langs, scores = judge(batch.column(at))
             yield batch.filter(pa.compute.and_(pa.compute.not_equal(langs, UNKNOWN), pa.compute.greater_equal(scores, least_score)))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

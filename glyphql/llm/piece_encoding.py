@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table
+from .common import by_bytes, release, table
 
 MARK = "▁"
 #: Piece types of the model format.
@@ -354,7 +354,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         end = str(m.end)
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             n, ids, decoded, covered, placed = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 joined, count, back, spans = m.encode_fast(text or "")

@@ -437,6 +437,28 @@ def test_decontamination_cut(docs, spark):
     assert decontaminate.hits(docs, b.limit(0)).where("contaminated").count() == 0 and decontaminate.hits(d.limit(0), b).count() == 0
 
 
+def test_stages_make_small_batches_of_large_ones(spark, monkeypatch):
+    """Spark sends 10,000 rows at once: what a stage makes of them may not be as large, and no row may be lost or moved."""
+    import pyarrow as pa
+
+    item = "one two three four five six seven eight nine ten"
+    texts = [None if k % 50 == 7 else "" if k % 50 == 8 else f"{k} " + "Straße und Haus " * 60 + (item if k % 3 else "") for k in range(2000)] + ["long " * 200_000]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    stages = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a: stages.append(f) or self)
+    decontaminate.clean(docs, b)
+    language_id.keep_known(docs, {"de": [ord(c) for c in "enist"]})
+    piece_encoding.encode_documents(docs, PIECES)
+    cleaned, known, encoded = ([out for out in f(iter([batch, batch.slice(0, 0)]))] for f in stages)
+    for got in (cleaned, known, encoded):
+        assert max(len(out) for out in got) < 500 and all(out.slice(1).get_total_buffer_size() < 4 << 20 for out in got)
+    assert sum((out.column(0).to_pylist() for out in cleaned), []) == sum((out.column(0).to_pylist() for out in encoded), []) == list(range(len(texts)))
+    assert sum((out.column(1).to_pylist() for out in cleaned), []) == [t and t.replace(item, "") for t in texts]
+    assert sum((out.column(0).to_pylist() for out in known), []) == [k for k, t in enumerate(texts) if t]
+
+
 # Pieces
 
 
