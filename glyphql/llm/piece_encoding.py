@@ -4,7 +4,8 @@ Normalisation looks up the longest prefix in the model's compiled character map
 replacements), or copies one character, and records for every character of its output the source byte range it stands for.
 Characters with which no key begins are copied run by run. Encoding merges the best-scored adjacent symbols within stretches
 that no piece can straddle, and each piece is projected through the alignment to a byte span of the original text. Stretches
-recur, so their ids, decoded surface and pieces' lengths are kept in a memo of bounded size; spans are each text's own.
+recur, so their ids, decoded surface and pieces' lengths are kept in a memo of bounded size; spans are each text's own. The
+stretches of a slice of texts that the memo lacks are merged together, all short ones a merge each per step (:class:`_Merges`).
 
 Defined results: null and empty texts have no pieces, only the end id if one is asked for, and decode to an empty text;
 repeated rows are encoded each for itself; an empty table gives an empty result; other columns are neither read nor
@@ -13,6 +14,7 @@ returned. Texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import re
@@ -32,6 +34,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches in the memo of one worker; beyond it the memo starts anew.
 MEMO = 150_000
+#: Stretches of up to this many characters merge together with others, longer ones each with a heap.
+SHORT = 48
+#: Cells (characters and two borders for each stretch) that merge together; bounds the arrays' size.
+CELLS = 1 << 16
 
 
 class CharMap:
@@ -125,6 +131,7 @@ class PieceModel:
             self.stretches = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         else:
             self.stretches = re.compile(rf"\n|{MARK}*[{latin}]+|{MARK}*[^{latin}{MARK}\n]+|{MARK}+")
+        self.merges = _Merges(self)
         self.memo = _Memo(self)
 
     # Normalisation
@@ -233,19 +240,26 @@ class PieceModel:
     def encode_fast(self, text: str) -> tuple[str, int, str, np.ndarray]:
         """Ids as decimals joined by blanks, their number, the decoded text, and a row ``start, end`` for each id: the byte
         span of ``text`` that its piece stands for."""
-        body, source = self._aligned(text)
-        found = list(map(self.memo.__getitem__, self.stretches.findall(body)))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[str, int, str, np.ndarray]]:
+        """:meth:`encode_fast` of each text; what the memo lacks for them is merged together."""
+        aligned = [self._aligned(text) for text in texts]
+        cut = [self.stretches.findall(body) for body, _ in aligned]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        ids, surfaces, lengths = zip(*found) if found else ((), (), ())
-        # Characters of each piece; of the byte pieces of one character the last has its 1, the others 0.
-        taken = np.frombuffer(b"".join(lengths), np.uint32).astype(np.int64)
-        start = np.cumsum(taken) - taken
-        spans = np.stack([source[start], source[start + np.maximum(taken, 1)]], axis=1)
-        surface = "".join(surfaces)
-        if (self.dummy_prefix or self.squeeze) and body.startswith(MARK) and surface.startswith(" "):
-            surface = surface[1:]
-        return " ".join(ids), len(taken), surface, spans
+        self.memo.learn(set().union(*cut))
+        for (body, source), own in zip(aligned, cut, strict=True):
+            found = list(map(self.memo.__getitem__, own))
+            ids, surfaces, lengths = zip(*found) if found else ((), (), ())
+            # Characters of each piece; of the byte pieces of one character the last has its 1, the others 0.
+            taken = np.frombuffer(b"".join(lengths), np.uint32).astype(np.int64)
+            start = np.cumsum(taken) - taken
+            spans = np.stack([source[start], source[start + np.maximum(taken, 1)]], axis=1)
+            surface = "".join(surfaces)
+            if (self.dummy_prefix or self.squeeze) and body.startswith(MARK) and surface.startswith(" "):
+                surface = surface[1:]
+            yield " ".join(ids), len(taken), surface, spans
 
     # Decoding
 
@@ -292,21 +306,118 @@ def _lenient(raw: bytes) -> str:
         return "".join(out)
 
 
+class _Merges:
+    """:meth:`PieceModel.merge` of many short stretches at once.
+
+    Symbols are numbers: 0 for borders and characters that no piece has, the others for pieces and their characters. Every way
+    to put a piece together from two symbols is a pair, with its piece's place in the order of scores. Each step merges the
+    best pair of every stretch that has one, of equals the leftmost, and looks up the two pairs that this makes."""
+
+    def __init__(self, model: PieceModel):
+        numbers = {s: k for k, s in enumerate(dict.fromkeys([*model.ids, *(c for p in model.ids for c in p)]), 1)}
+        self.width = len(numbers) + 1
+        of_score = {x: k for k, x in enumerate(sorted(set(model.score.values()), reverse=True))}
+        self.none = len(of_score)
+        pairs = sorted(
+            (numbers[p[:k]] * self.width + numbers[p[k:]], of_score[model.score[p]], numbers[p])
+            for p in model.ids
+            for k in range(1, len(p))
+            if p[:k] in numbers and p[k:] in numbers
+        )
+        # The last entry is no pair's.
+        self.keys, self.ranks, self.merged = (np.array(x, t) for x, t in zip(zip(*pairs, (1 << 62, self.none, 0)), (np.int64, np.int32, np.int32), strict=True))
+        single = {ord(s): k for s, k in numbers.items() if len(s) == 1}
+        self.of_char = np.zeros(max(single, default=0) + 2, np.int32)
+        self.of_char[list(single)] = list(single.values())
+        self.ids = np.array([-1, *(model.ids.get(s, -1) for s in numbers)], np.int32)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of the pairs in the table; the last one's for symbols that make no piece."""
+        wanted = left.astype(np.int64) * self.width + right
+        at = np.searchsorted(self.keys, wanted)
+        at[self.keys[at] != wanted] = len(self.keys) - 1
+        return at
+
+    def __call__(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the symbols of all stretches in turn their ids (-1: not a piece) and lengths, and their number by stretch."""
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        n, wide = len(stretches), int(sizes.max()) + 2
+        chars = np.frombuffer("".join(stretches).encode("utf-32-le"), np.uint32)
+        inside = np.arange(wide) < sizes[:, None] + 1
+        inside[:, 0] = False
+        live = inside.ravel()
+        symbol = np.zeros(n * wide, np.int32)
+        symbol[live] = self.of_char[np.minimum(chars, len(self.of_char) - 1)]
+        after = np.arange(1, n * wide + 1)
+        before = np.arange(-1, n * wide - 1)
+        pair = np.full(n * wide, len(self.keys) - 1)
+        heads = np.flatnonzero(live)
+        pair[heads] = self._pairs(symbol[heads], symbol[heads + 1])
+        rank = self.ranks[pair].reshape(n, wide)
+        flat = rank.ravel()
+        rows = np.arange(n)
+        while len(rows):
+            at = rows * wide + rank[rows].argmin(axis=1)
+            some = flat[at] < self.none
+            rows, at = rows[some], at[some]
+            gone, left = after[at], before[at]
+            right = after[gone]
+            symbol[at] = new = self.merged[pair[at]]
+            live[gone], flat[gone] = False, self.none
+            after[at], before[right] = right, at
+            pair[at] = own = self._pairs(new, symbol[right])
+            flat[at] = self.ranks[own]
+            pair[left] = own = self._pairs(symbol[left], new)
+            flat[left] = self.ranks[own]
+        heads = np.flatnonzero(live)
+        return self.ids[symbol[heads]], (after[heads] - heads).astype(np.uint32), live.reshape(n, wide).sum(axis=1)
+
+
 class _Memo(dict):
+    """Of each stretch: its ids as decimals joined by blanks, their decoded text, and the characters of each id's piece."""
+
     def __init__(self, model: PieceModel):
         super().__init__()
         self._model = model
+        self._decimals = [str(i) for i in range(len(model.pieces))]
+        self._surfaces = [model.surface([i]) for i in range(len(model.pieces))]
+
+    def learn(self, stretches: set[str]) -> None:
+        """Adds those of the stretches that are not there yet."""
+        m = self._model
+        new = sorted(stretches.difference(self), key=len)
+        at, short = 0, bisect.bisect_right(new, SHORT, key=len)
+        while at < short:
+            end = min(short, at + CELLS // (len(new[at]) + 2))
+            end = min(end, at + CELLS // (len(new[end - 1]) + 2))
+            self._add(new[at:end])
+            at = end
+        for stretch in new[short:]:
+            self[stretch] = self._entry(m.merge(stretch))
+
+    def _add(self, stretches: list[str]) -> None:
+        ids, lengths, counts = self._model.merges(stretches)
+        ends = np.cumsum(counts)
+        known = np.bincount(np.repeat(np.arange(len(stretches)), counts), ids < 0, len(stretches)) == 0
+        own = ids.tolist()
+        decimals, surfaces = [self._decimals[i] for i in own], [self._surfaces[i] for i in own]
+        taken = lengths.tobytes()
+        for stretch, a, b, pieces in zip(stretches, (ends - counts).tolist(), ends.tolist(), known.tolist(), strict=True):
+            if pieces:
+                self[stretch] = " ".join(decimals[a:b]), "".join(surfaces[a:b]), taken[4 * a : 4 * b]
+            else:
+                cuts = np.cumsum(lengths[a:b]).tolist()
+                self[stretch] = self._entry([stretch[i:j] for i, j in zip([0, *cuts], cuts)])
 
-    def __missing__(self, stretch: str) -> tuple[str, str, bytes]:
+    def _entry(self, symbols: list[str]) -> tuple[str, str, bytes]:
         m = self._model
         ids: list[int] = []
         taken: list[int] = []
-        for symbol in m.merge(stretch):
+        for symbol in symbols:
             own = m.symbol_ids(symbol)
             ids += own
             taken += [0] * (len(own) - 1) + [len(symbol)]
-        value = self[stretch] = " ".join(map(str, ids)), m.surface(ids), np.array(taken, np.uint32).tobytes()
-        return value
+        return " ".join(map(str, ids)), m.surface(ids), np.array(taken, np.uint32).tobytes()
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -328,8 +439,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for k in range(0, len(batch), 64):
                 part = batch.slice(k, 64)
                 ids, starts, ends, decoded = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    joined, _, back, spans = m.encode_fast(text or "")
+                for joined, _, back, spans in m.encode_all([text or "" for text in part.column(1).to_pylist()]):
                     ids.append(np.array(joined.split(), np.int32))
                     starts.append(spans[:, 0])
                     ends.append(spans[:, 1])
@@ -356,8 +466,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         end = str(m.end)
         for batch in by_bytes(batches, 1):
             n, ids, decoded, covered, placed = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                joined, count, back, spans = m.encode_fast(text or "")
+            for joined, count, back, spans in m.encode_all([text or "" for text in batch.column(1).to_pylist()]):
                 n.append(count + 1)
                 ids.append(hashlib.sha256(f"{joined} {end}".encode() if joined else end.encode()).hexdigest())
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())

@@ -505,6 +505,52 @@ def test_piece_spans_equal_the_library(docs, spark):
         assert (full[i].ids, list(zip(full[i].starts, full[i].ends)), full[i].decoded) == (lib.encode(t or ""), want, lib.decode(lib.encode(t or "")))
 
 
+@pytest.mark.parametrize("levels", [0, 1, 7])
+def test_stretches_merged_together_equal_each_merged_alone(levels):
+    """Against the pairwise loop and the heap; with scores of few levels equal ones decide, the leftmost first."""
+    m, rng = piece_encoding.PieceModel(PIECES), random.Random(26)
+    if levels:
+        m.score = {p: -float(k * 31 % levels) for k, p in enumerate(m.score)}
+        m.merges = piece_encoding._Merges(m)
+    pools = ["abcdehinorst", "▁ethnorasi", "aé" + chr(0x4E00) + chr(0x1F600) + chr(0x10FFFF) + chr(0xAC01) + "e", "ab", "0123456789.,;:=-", "\0\t\x7f\n▁"]
+    stretches = {"".join(rng.choice(pool) for _ in range(rng.choice([1, 2, 3, 5, 9, 17, 24, 25, 47, 48, 49, 90]))) for pool in pools for _ in range(400)}
+    m.memo.learn(stretches)
+    assert set(m.memo) == stretches
+    for s in stretches:
+        ids = [i for symbol in m.merge(s) for i in m.symbol_ids(symbol)]
+        taken = [k for symbol in m.merge(s) for k in [0] * (len(m.symbol_ids(symbol)) - 1) + [len(symbol)]]
+        assert m.memo[s] == (" ".join(map(str, ids)), m.surface(ids), np.array(taken, np.uint32).tobytes()), s
+    m.memo.learn(set())
+    m.memo.learn(stretches)
+    assert len(m.memo) == len(stretches)
+
+
+def test_new_words_cost_less_than_merging_each(spark, monkeypatch):
+    """Most words of large tables are seen a few times: encoding texts of new words may not merge them one by one."""
+    import pyarrow as pa
+    import sentencepiece
+    from time import process_time
+
+    rng, stages = random.Random(27), []
+    parts = ["th", "en", "er", "on", "an", "re", "ha", "es", "st", "ing", "ou", "ti"]
+    texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(5, 9))) for _ in range(200)) for _ in range(150)]
+    own, docs = piece_encoding.PieceModel(PIECES), spark.createDataFrame([(1, "")], "doc_id long, text string")
+    monkeypatch.setitem(piece_encoding._MODELS, PIECES, own)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a: stages.append(f) or self)
+    piece_encoding.encode_documents(docs, PIECES)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    began = process_time()
+    got = [digest for out in stages[0](iter([batch])) for digest in out.column(2).to_pylist()]
+    together = process_time() - began
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert got == [hashlib.sha256(" ".join(map(str, lib.encode(t, add_eos=True))).encode()).hexdigest() for t in texts]
+    words = {"▁" + w for t in texts for w in t.split()}
+    began = process_time()
+    for w in words:
+        own.merge(w)
+    assert together < 0.7 * (process_time() - began)
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_character_maps(rule):
     import sentencepiece
