@@ -33,7 +33,7 @@ MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches in the memo of one worker; beyond it the memo starts anew.
-MEMO = 150_000
+MEMO = 75_000
 #: Stretches of up to this many characters merge together with others, longer ones each with a heap.
 SHORT = 48
 #: Cells (characters and two borders for each stretch) that merge together; bounds the arrays' size.
@@ -445,6 +445,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     ends.append(spans[:, 1])
                     decoded.append(back)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(decoded, pa.string())], ["id", "ids", "starts", "ends", "decoded"])
+        m.memo.clear()
         release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -474,6 +475,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 covered.append(int((spans[:, 1] - np.maximum(spans[:, 0], np.append(0, spans[:-1, 1]))).sum()) if count else 0)
                 placed.append(hashlib.sha256(spans.astype("<u4").tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(covered, pa.int64()), pa.array(placed, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes", "spans_sha256"])
+        m.memo.clear()
         release()
 
     return rows.mapInArrow(encode, schema).withColumnRenamed("id", id_col)
